@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import chat, decontam, exact_dedup, packing, simhash
+from . import chat, common, decontam, exact_dedup, langid, packing, pii, secret_scan, sharding, simhash, suffix
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -18,6 +18,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ARRIVALS = 12
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in ARRIVALS lots, which are then compacted; every row is read back by the last manifest."""
+    store = sharding.ShardStore(spark, common.new_folder(spark, "shards"))
+    lot = F.coalesce(F.pmod("doc_id", F.lit(ARRIVALS)), F.lit(0)).cast("int")
+    store.append_many(_table(spark, sf_dir, "documents").withColumn("_lot", lot), "_lot")
+    store.compact()
+    store.vacuum()
+    body = F.coalesce("text", F.lit(""))
+    return store.rows().select(
+        "doc_id", F.col("_arrival").alias("arrival"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("text_sha256"), "lang", "source", "n_chars"
+    )
+
+
+OP1_SQL = """
+SELECT doc_id, CAST(coalesce(doc_id % 12, 0) AS INTEGER) AS arrival, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes,
+       sha256(coalesce(text, '')) AS text_sha256, lang, source, n_chars
+FROM documents
+"""
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -59,6 +82,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(spark, _table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.decontaminate(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -89,6 +116,13 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_personal_data(spark, _table(spark, sf_dir, "documents"))
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(spark, _table(spark, sf_dir, "documents"), digest=True)
 
@@ -102,13 +136,26 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan_secrets(spark, _table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example", "n_weak")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages, by a text model fitted on a bounded sample of labelled documents."""
+    model = langid.fit_text_model(_table(spark, sf_dir, "documents"))
+    html = F.col("html")
+    pages = _table(spark, sf_dir, "pages").select("page_id", langid.text_of(html).alias("text"), langid.host_of(F.col("url")).alias("host"), langid.declared_in(html).alias("declared"))
+    return langid.identify(spark, pages, model, ["page_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op5_decontamination": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op1_sharding": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op5_decontamination": OP5_SQL, "op7_exact_dedup": OP7_SQL}
