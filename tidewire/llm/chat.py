@@ -38,7 +38,7 @@ def format_reply_trees(spark: SparkSession, messages: DataFrame, top: int = 1) -
     of start and end in formatted, in characters: the texts of LOSS_ROLE).
 
     Each round joins the table of jumps with itself, so that after k rounds every node knows its ancestor 2^k up and the
-    scores in between: log2(depth) rounds, each over one row per node and keyed by node, so no tree is gathered. Leaves
+    scores in between: log2(depth) rounds, each over one row per node that hasn't reached its root, keyed by node, so no tree is gathered. Leaves
     are ranked by path score (ties: smaller leaf). Chosen paths are laid out by the same jumps, and only then are texts
     joined and each path's turns gathered, as its one row must hold them.
 
@@ -59,10 +59,10 @@ def format_reply_trees(spark: SparkSession, messages: DataFrame, top: int = 1) -
         if len(jumps) > 40:
             break  # only cycles are left
         far = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("hops").alias("hops2"))
-        jump = jump.join(far, ["tree", "up"], "left").select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops")
+        further = jump.where("up is not null").join(far, ["tree", "up"]).select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("hops") + F.col("hops2")).alias("hops")
         )
-        jump = materialize(spark, jump, "jump")
+        jump = materialize(spark, jump.where("up is null").unionByName(further), "jump")
         jumps.append(jump)
 
     inner = jumps[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
