@@ -21,7 +21,10 @@ STEP = LENGTH // 4
 """Bytes of the q-grams within a bucket, and the first later offset."""
 PART_BYTES = 8 << 20
 """Bytes of text aimed at for a partition of the exchanges."""
-CHUNK = 2 << 20
+CHUNK = 1 << 19
+"""Bytes of text, and of strings of open buckets, that a task works on at a time; a longer text or bucket stands alone."""
+BATCH = 8 << 20
+"""Bytes of text whose equal runs meet before the first exchange."""
 SAMPLE = 10_000
 """Documents looked at to find q-grams so frequent that their bucket is split; results don't depend on it."""
 HOT_SHARE = 0.01
@@ -163,20 +166,22 @@ class _Anchors:
         for b in batches:
             data, off = utf8(b.column("text"))
             doc, key = b.column("d").to_numpy(), b.column("t").to_numpy()
-            got = []
-            for i, j in chunks(off, CHUNK):
-                text, first, last, h, u = spans(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                got.append((text + i, first + off[i] - off[text + i], last - first, h, u))
-            text, first, width, h, u = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64),) * 5
-            h, u = h.astype(np.uint64), u.astype(np.uint64)
-            d, t = doc[text], key[text]
-            order = np.lexsort((first, t, d, u, h))
-            gone = _later(order, _classes(h[order], u[order]), d, t)
-            rows = list(_blocks(GONE, _part(d[gone], self.parts), d=d[gone], t=t[gone], l=first[gone], w=width[gone]))
-            on = ~gone
-            to = np.where(np.isin(h[on], self.hot), h[on] ^ u[on], h[on])
-            rows += _blocks(ANCHOR, _part(to, self.parts), h=h[on], u=u[on], d=d[on], t=t[on], l=first[on], w=width[on])
-            yield pa.RecordBatch.from_pydict(_batch(rows))
+            for i, j in chunks(off, BATCH):
+                yield pa.RecordBatch.from_pydict(_batch(self._rows(data[off[i] : off[j]], off[i : j + 1] - off[i], doc[i:j], key[i:j])))
+
+    def _rows(self, data: np.ndarray, off: np.ndarray, doc: np.ndarray, key: np.ndarray) -> list[dict]:
+        got = []
+        for i, j in chunks(off, CHUNK):
+            text, first, last, h, u = spans(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            got.append((text + i, first + off[i] - off[text + i], last - first, h, u))
+        text, first, width, h, u = (np.concatenate(x) for x in zip(*got, strict=True))
+        d, t = doc[text], key[text]
+        order = np.lexsort((first, t, d, u, h))
+        gone = _later(order, _classes(h[order], u[order]), d, t)
+        rows = list(_blocks(GONE, _part(d[gone], self.parts), d=d[gone], t=t[gone], l=first[gone], w=width[gone]))
+        on = ~gone
+        to = np.where(np.isin(h[on], self.hot), h[on] ^ u[on], h[on])
+        return [*rows, *_blocks(ANCHOR, _part(to, self.parts), h=h[on], u=u[on], d=d[on], t=t[on], l=first[on], w=width[on])]
 
 
 class _Refine:
@@ -335,20 +340,31 @@ class _Settle:
         order = np.lexsort((w["l"], w["t"], w["d"], w["u"], w["h"]))
         gone = _later(order, _classes(w["h"][order], w["u"][order]), w["d"], w["t"])
         rows += self._runs(w["d"][gone], w["t"][gone], w["l"][gone])
+        for part in self._strings(table):
+            rows += part
+        return pa.Table.from_pydict(_batch(rows))
+
+    def _strings(self, table: pa.Table) -> Iterator[list[dict]]:
+        """By runs of whole buckets."""
         a = _read(table, STRINGS)
-        if len(a["d"]):
-            bodies = [zstandard.ZstdDecompressor().decompress(r["x"]) for r in table.select(["kind", "x"]).to_pylist() if r["kind"] == STRINGS]
-            body = np.frombuffer(b"".join(bodies), np.uint8)
-            size = a["w"].astype(np.int64) + LENGTH
-            begin = np.cumsum(size) - size
-            run, at, name = refine(body, begin, a["w"].astype(np.int64), a["h"])
-            d, t, l = a["d"][run], a["t"][run], a["l"][run].astype(np.int64) + at
+        bodies = [zstandard.ZstdDecompressor().decompress(r["x"]) for r in table.select(["kind", "x"]).to_pylist() if r["kind"] == STRINGS]
+        whole = np.frombuffer(b"".join(bodies), np.uint8)
+        size = a["w"].astype(np.int64) + LENGTH
+        begin = np.cumsum(size) - size
+        by = np.argsort(a["h"], kind="stable")
+        ends = np.flatnonzero(np.append(~_classes(a["h"][by])[1:], True)) + 1 if len(by) else by
+        before = np.concatenate(([0], np.cumsum(size[by])[ends - 1])) if len(by) else np.zeros(1, np.int64)
+        for i, j in chunks(before, CHUNK):
+            own = by[(ends[i - 1] if i else 0) : ends[j - 1]]
+            body = np.concatenate([whole[x : x + n] for x, n in zip(begin[own].tolist(), size[own].tolist(), strict=True)])
+            at_own = np.cumsum(size[own]) - size[own]
+            run, at, name = refine(body, at_own, a["w"][own].astype(np.int64), a["h"][own])
+            d, t, l = a["d"][own][run], a["t"][own][run], a["l"][own][run].astype(np.int64) + at
             order = np.lexsort((l, t, d, name))
             same = _classes(name[order])
-            _verify(body, (begin[run] + at)[order], same)
+            _verify(body, (at_own[run] + at)[order], same)
             gone = _later(order, same, d, t)
-            rows += self._runs(d[gone], t[gone], l[gone])
-        return pa.Table.from_pydict(_batch(rows))
+            yield list(self._runs(d[gone], t[gone], l[gone]))
 
     def _runs(self, d, t, l):
         order = np.lexsort((l, t, d))
