@@ -7,6 +7,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,12 +72,18 @@ class WordTokens:
                 self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@lru_cache(2)
+def _tokens(path: str) -> WordTokens:
+    """A worker's, for all its tasks."""
+    return WordTokens(path)
+
+
 class _Pieces:
     def __init__(self, path, capacity):
         self.path, self.capacity = path, capacity
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(self.path)
+        tokens = _tokens(self.path)
         for b in batches:
             doc, piece, start, length, crc = [], [], [], [], []
             for d, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
