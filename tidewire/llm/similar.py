@@ -17,8 +17,10 @@ from . import simhash
 from .common import broadcast_if_small, chunks, connected_components, materialize, utf8
 from .suffix import _mix, _sums
 
-BANDS, ROWS = 25, 5
-"""Bands of minima, and minima in each: a pair at 0.8 shares a band but for 1 of 20,000."""
+BANDS, ROWS = 24, 6
+"""Bands of minima, and minima in each: a pair at 0.8 shares a band but for 1 of 1,500, one at 0.9 but for 1 of 10**7."""
+SMALL = 8
+"""Members up to which a meeting compares everyone; larger ones compare all with the least, in rounds."""
 SURE = 0.1
 """Links whose estimate is this far from the threshold aren't counted out exactly."""
 CHUNK = 1 << 20
@@ -124,36 +126,32 @@ def _beside(edges: DataFrame, values: DataFrame, name: str) -> DataFrame:
 def similar_groups(spark: SparkSession, rows: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, root) of every row of rows (node long, unique; text) with a near duplicate; root is the group's least node.
 
-    Candidates meet in SimHash balls and in bands of minima. In each meeting all are compared with the least node, never
-    all pairs; those that prove unlike it meet again without it until none are left. An estimate from the minima decides
+    Candidates meet in SimHash balls and in bands of minima. A meeting of more than SMALL compares all with its least
+    node, and those that prove unlike it meet again without it until none are left. An estimate from the minima decides
     where it is SURE from the threshold, the shingle sets elsewhere. Texts without words: no group. Null text: empty.
     """
     sketch = materialize(spark, rows.select("node", "text").mapInArrow(_Sketch(shingle), "node long, sig binary, fp long, n long").where("n > 0"), "sketch")
     met = materialize(spark, sketch.select("node", "sig").mapInArrow(_bands, "key long, node long"), "bands")
     fps = materialize(spark, sketch.groupBy("fp").agg(F.min("node").alias("node")), "fps")
-    ball = simhash.links(spark, fps)
     by = fps.select(F.col("fp"), F.col("node").alias("n2"))
-    ball = ball.join(by.withColumnRenamed("fp", "a").withColumnRenamed("n2", "x"), "a").join(by.withColumnRenamed("fp", "b").withColumnRenamed("n2", "y"), "b")
+    ball = simhash.links(spark, fps).join(by.withColumnRenamed("fp", "a").withColumnRenamed("n2", "x"), "a").join(by.withColumnRenamed("fp", "b").withColumnRenamed("n2", "y"), "b")
     same = sketch.select("node", "fp").join(fps.select("fp", F.col("node").alias("x")), "fp").where("node != x")
-    extra = ball.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(same.select(F.col("x").alias("a"), F.col("node").alias("b"))).distinct()
-
-    kept = None
-    known = None
+    edges = ball.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(same.select(F.col("x").alias("a"), F.col("node").alias("b")))
+    alike = None
     while True:
-        least = materialize(spark, met.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a"), "least")
-        pairs = materialize(spark, met.join(least, "key").where("node != a").select("key", "a", F.col("node").alias("b")), "pairs")
-        if extra is None and pairs.isEmpty():
-            break
-        edges = pairs.select("a", "b").distinct() if extra is None else pairs.select("a", "b").union(extra).distinct()
-        extra = None
-        if known is not None:
-            edges = edges.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        checked = materialize(spark, _check(spark, rows, sketch, materialize(spark, edges, "edges"), shingle, similarity), "checked")
-        known = checked if known is None else known.union(checked)
-        kept = known.where(F.col("alike")).select("a", "b")
-        unlike = known.where(~F.col("alike")).select("a", "b")
-        met = materialize(spark, pairs.join(unlike, ["a", "b"], "left_semi").select("key", F.col("b").alias("node")), "met")
-    return connected_components(spark, kept)
+        meetings = materialize(spark, met.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1"), "meetings")
+        few = met.join(meetings.where(F.col("c") <= SMALL).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
+        beside = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+        few = few.select(F.inline(beside))
+        many = materialize(spark, met.join(meetings.where(F.col("c") > SMALL).select("key", "a"), "key").where("node != a").select("key", "a", F.col("node").alias("b")), "many")
+        edges = materialize(spark, edges.union(few).union(many.select("a", "b")).distinct(), "edges")
+        checked = materialize(spark, _check(spark, rows, sketch, edges, shingle, similarity), "checked")
+        good = checked.where("alike").select("a", "b")
+        alike = good if alike is None else alike.union(good)
+        met = materialize(spark, many.join(checked.where(~F.col("alike")).select("a", "b"), ["a", "b"], "left_semi").select("key", F.col("b").alias("node")), "met")
+        if met.isEmpty():
+            return connected_components(spark, alike)
+        edges = edges.limit(0)
 
 
 def _check(spark, rows, sketch, edges, shingle, similarity) -> DataFrame:
