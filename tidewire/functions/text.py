@@ -62,7 +62,7 @@ def magnitude(text: Column) -> Column:
     usd = F.array_max(F.zip_with(_numbers(text, money), F.regexp_extract_all(text, F.lit(money), F.lit(2)), lambda a, u: a * scale(u)))
     zero = F.lit(0.0)
     bonus = F.greatest(
-        F.coalesce(F.least(F.lit(15.0), pct * 2.0), zero), F.coalesce(F.least(F.lit(15.0), bps / 5.0), zero),
+        F.least(F.lit(15.0), F.coalesce(pct, zero) * 2.0), F.least(F.lit(15.0), F.coalesce(bps, zero) / 5.0),
         F.when(usd >= 1e9, F.least(F.lit(12.0), 4.0 + usd / 1e11)).otherwise(zero),
     )
     return F.struct(bonus.alias("bonus"), F.greatest(F.coalesce(pct, zero), F.coalesce(bps / 100.0, zero)).alias("largest"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..storage import spread
 
 #: Headlines with a number to fill in. ASCII, so that all engines' word classes agree.
 TEMPLATES = (
@@ -60,7 +61,7 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, headline, source, ts: one for every row of lineitem."""
     n = len(TEMPLATES)
     filled = F.replace(_pick(TEMPLATES, F.pmod(F.col("l_orderkey") * 3 + F.col("l_linenumber") + F.col("l_suppkey"), F.lit(n))), F.lit("{n}"), F.col("l_quantity").cast("int").cast("string"))
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(spark, table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")).select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), filled.alias("headline"), _pick(SOURCES, F.pmod(F.col("l_partkey"), F.lit(len(SOURCES)))).alias("source"), epoch("l_shipdate").alias("ts")
     )
 

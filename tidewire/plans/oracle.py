@@ -39,7 +39,7 @@ def _max(text: str, pattern: str, keep: str = "true") -> str:
 _MONEY = r"\$\s?(\d+(?:\.\d+)?)\s?(billion|bn|trillion|tn|million|mn)"
 _MAGNITUDE = f"""
 m AS (
-  SELECT *, greatest(coalesce(least(15.0, pct * 2.0), 0), coalesce(least(15.0, bps / 5.0), 0), CASE WHEN usd >= 1e9 THEN least(12.0, 4.0 + usd / 1e11) ELSE 0 END) AS bonus,
+  SELECT *, greatest(least(15.0, coalesce(pct, 0) * 2.0), least(15.0, coalesce(bps, 0) / 5.0), CASE WHEN usd >= 1e9 THEN least(12.0, 4.0 + usd / 1e11) ELSE 0 END) AS bonus,
          greatest(coalesce(pct, 0), coalesce(bps / 100.0, 0)) AS largest
   FROM (SELECT *, {_max("t", r"(\d+(?:\.\d+)?)\s?(?:%|percent|pct)", f"x < 40.0")} AS pct, {_max("t", r"(\d+(?:\.\d+)?)\s?(?:bps|basis points?)")} AS bps,
     list_max(list_transform(range(1, len(regexp_extract_all(t, {q(_MONEY)}, 1)) + 1), lambda i: CAST(regexp_extract_all(t, {q(_MONEY)}, 1)[i] AS DOUBLE) *

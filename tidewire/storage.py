@@ -24,3 +24,15 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tidewire-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SPREAD_BYTES = 256 << 20
+"""Inputs up to this size may be dealt out anew."""
+
+
+def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A small input in fewer files than there are cores, dealt out over all of them before work that costs far more than
+    moving it. Anything larger stays as it lies."""
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
