@@ -19,7 +19,7 @@ from .suffix import _mix, _sums
 
 BANDS, ROWS = 24, 6
 """Bands of minima, and minima in each: a pair at 0.8 shares a band but for 1 of 1,500, one at 0.9 but for 1 of 10**7."""
-SMALL = 8
+SMALL = 32
 """Members up to which a meeting compares everyone; larger ones compare all with the least, in rounds."""
 SURE = 0.1
 """Links whose estimate is this far from the threshold aren't counted out exactly."""
