@@ -67,7 +67,9 @@ def fit_text_model(labelled: DataFrame, text: str = "text", lang: str = "lang",
     """Fit on at most SAMPLE_ROWS labelled rows of at most SAMPLE_CHARS characters, chosen by hash of the key over all rows."""
     rows = labelled.select(F.lower(F.col(lang)).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h"))
     rows = rows.where("lang is not null and lang != '' and text is not null").where(F.char_length("text") <= SAMPLE_CHARS)
-    return TextModel.fit([(r.lang, r.text) for r in rows.orderBy("h", "lang", "text").limit(SAMPLE_ROWS).collect()])
+    last = rows.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]  # hashes alone are sorted, not texts
+    chosen = [] if last is None else rows.where(F.col("h") <= last).limit(SAMPLE_ROWS).collect()
+    return TextModel.fit(sorted((r.lang, r.text) for r in chosen))
 
 
 class _Likelihoods:
