@@ -11,43 +11,42 @@ ORACLE_SQL = None
 """SQL can't express the text model, the near-duplicate groups or the packing; tests/llm compares the stages with brute force."""
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _row: a hash that, beside the doc_id, tells rows apart unless they have equal ids and texts."""
-    return docs.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
+def _row():
+    """A hash that, beside the doc_id, tells rows apart unless they have equal ids and texts."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _without(spark: SparkSession, docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows that `gone` (doc_id, _row) names; texts move only if it is too large to broadcast."""
-    gone = common.materialize(spark, gone.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_r")), "gone")
+    """docs without the rows that `gone` (doc_id, row) names; texts move only if it is too large to broadcast."""
+    i, r = common.fresh(docs, "gone_id"), common.fresh(docs, "gone_row")
+    gone = common.materialize(spark, gone.select(F.col("doc_id").alias(i), F.col("row").alias(r)), "gone")
     gone = common.broadcast_if_small(gone, gone.count(), 32)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r"))
-    return _keyed(docs).join(gone, same, "left_anti").drop("_row")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(i)) & (_row() == F.col(r)), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an identifiable language. The source stands for the host, the lang column for declared markup."""
     model = langid.fit_text_model(docs)
-    rows = _keyed(docs).select("doc_id", "_row", "text", F.col("source").alias("host"), F.col("lang").alias("declared"))
-    found = langid.identify(spark, rows, model, ["doc_id", "_row"])
-    return _without(spark, docs, found.where("rejected").select("doc_id", "_row").distinct())
+    rows = docs.select("doc_id", _row().alias("row"), "text", F.col("source").alias("host"), F.col("lang").alias("declared"))
+    found = langid.identify(spark, rows, model, ["doc_id", "row"])
+    return _without(spark, docs, found.where("rejected").select("doc_id", "row").distinct())
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for A-Z's case, the row of the largest doc_id."""
     found = common.materialize(spark, exact_dedup.exact_duplicates(spark, docs), "exact")
-    kept = found.where("kept").select("doc_id")
-    ids = docs.select("doc_id")
-    if found.where("kept is false").isEmpty():
+    gone = found.where(~F.col("kept"))
+    if gone.isEmpty():
         return docs
-    if ids.count() == ids.agg(F.countDistinct("doc_id")).first()[0]:
-        gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"))
-        gone = common.materialize(spark, gone, "gone")
-        return docs.join(common.broadcast_if_small(gone, gone.count(), 16), F.col("doc_id") == F.col("_id"), "left_anti")
-    # Ids repeat: of each id the kept row's text tells which of its rows stay, and of rows alike one does.
-    body = common.ascii_lower(F.col("text"))
-    named = docs.withColumn("_text", F.sha2(body, 256))
-    top = named.groupBy("_text").agg(F.max("doc_id").alias("_id")).withColumnRenamed("_text", "_of")
-    return named.join(top, (F.col("_text") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_text"]).drop("_text", "_of", "_id")
+    i = common.fresh(docs, "gone_id")
+    if found.count() == found.agg(F.countDistinct("doc_id")).first()[0]:
+        gone = gone.select(F.col("doc_id").alias(i))
+        return docs.join(common.broadcast_if_small(gone, gone.count(), 16), F.col("doc_id") == F.col(i), "left_anti")
+    # Ids repeat or are null: of equal texts those of the largest id stay, and of these rows one.
+    t, u = common.fresh(docs, "own_text"), common.fresh(docs, "kept_text")
+    named = docs.withColumn(t, F.sha2(common.ascii_lower(F.col("text")), 256))
+    top = named.groupBy(F.col(t).alias(u)).agg(F.max("doc_id").alias(i))
+    return named.join(top, (F.col(t) == F.col(u)) & F.col("doc_id").eqNullSafe(F.col(i))).drop(u, i).dropDuplicates([t]).drop(t)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,14 +57,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if n != alone:
         rows = rows.dropDuplicates(["node"])
     groups = similar.similar_groups(spark, rows)
-    gone = common.materialize(spark, groups.where("node != root").select(F.col("node").alias("_node")), "gone")
-    return docs.join(common.broadcast_if_small(gone, gone.count(), 16), node == F.col("_node"), "left_anti")
+    i = common.fresh(docs, "gone_id")
+    gone = common.materialize(spark, groups.where("node != root").select(F.col("node").alias(i)), "gone")
+    return docs.join(common.broadcast_if_small(gone, gone.count(), 16), node == F.col(i), "left_anti")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.decontaminate(spark, docs, benchmark, carry=True).where(~F.col("_contaminated")).drop("_contaminated")
+    return decontam.decontaminate(spark, docs, benchmark, clean=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

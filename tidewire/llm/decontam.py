@@ -127,11 +127,11 @@ def mark(matcher: WuManber, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarr
 
 
 def decontaminate(
-    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = PATTERN_BYTES, carry: bool = False
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = PATTERN_BYTES, clean: bool = False
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items (sorted list of item ids as strings), contaminated.
 
-    carry: the columns of docs instead of doc_id and one result column, _contaminated.
+    clean: instead, the rows of docs that aren't contaminated, with all their columns.
     The benchmark is read in blocks of at most block_bytes of text; each block's tables are broadcast and every text
     passes the blocks one after the other in one stage without a shuffle, gathering flags for its words. A document's
     state is a flag for each of its words. Null texts and texts without words: no words, not contaminated. A benchmark without
@@ -139,7 +139,7 @@ def decontaminate(
     repeated rows and other columns: kept as they are.
     """
     blocks = _blocks(spark, benchmark, item_id, item_text, block_bytes)
-    ids = docs.schema.names if carry else [doc_id]
+    ids = docs.schema.names if clean else [doc_id]
     inner = [f"c{k}" for k in range(len(ids))]
     kinds = [docs.schema[c].dataType for c in ids]
     now = docs.select(
@@ -152,8 +152,8 @@ def decontaminate(
     )
     for b in blocks:
         now = now.mapInArrow(_Pass(b), now.schema)
-    if carry:
-        return now.select(*[F.col(i).cast(t).alias(c) for c, i, t in zip(ids, inner, kinds, strict=True)], (F.col("n_hit") > 0).alias("_contaminated"))
+    if clean:
+        return now.where("n_hit = 0").select(*[F.col(i).cast(t).alias(c) for c, i, t in zip(ids, inner, kinds, strict=True)])
     return now.select(F.col("c0").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
