@@ -83,7 +83,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(node), axis=0)
         for r in range(ROWS):
             key = _mix(key * np.uint64(31) + sig[:, :, r])
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node, BANDS))], names=["key", "node"])
+        band = np.tile(np.arange(BANDS, dtype=np.int32), len(node))
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node, BANDS)), pa.array(band)], names=["key", "node", "band"])
 
 
 def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,32 +127,40 @@ def _beside(edges: DataFrame, values: DataFrame, name: str) -> DataFrame:
 def similar_groups(spark: SparkSession, rows: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, root) of every row of rows (node long, unique; text) with a near duplicate; root is the group's least node.
 
-    Candidates meet in SimHash balls and in bands of minima. A meeting of more than SMALL compares all with its least
-    node, and those that prove unlike it meet again without it until none are left. An estimate from the minima decides
-    where it is SURE from the threshold, the shingle sets elsewhere. Texts without words: no group. Null text: empty.
+    Candidates meet in SimHash balls and in bands of minima. A meeting of up to SMALL compares everyone; a larger one
+    compares all with the member that meets most others, and those that prove unlike it meet again where they share a
+    further band, which leaves few. An estimate from the minima decides where it is SURE from the threshold, the shingle
+    sets elsewhere. Texts without words: no group. Null text: empty.
     """
     sketch = materialize(spark, rows.select("node", "text").mapInArrow(_Sketch(shingle), "node long, sig binary, fp long, n long").where("n > 0"), "sketch")
-    met = materialize(spark, sketch.select("node", "sig").mapInArrow(_bands, "key long, node long"), "bands")
+    bands = materialize(spark, sketch.select("node", "sig").mapInArrow(_bands, "key long, node long, band int"), "bands")
     fps = materialize(spark, sketch.groupBy("fp").agg(F.min("node").alias("node")), "fps")
     by = fps.select(F.col("fp"), F.col("node").alias("n2"))
     ball = simhash.links(spark, fps).join(by.withColumnRenamed("fp", "a").withColumnRenamed("n2", "x"), "a").join(by.withColumnRenamed("fp", "b").withColumnRenamed("n2", "y"), "b")
     same = sketch.select("node", "fp").join(fps.select("fp", F.col("node").alias("x")), "fp").where("node != x")
     edges = ball.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(same.select(F.col("x").alias("a"), F.col("node").alias("b")))
-    alike = None
+    met, alike = bands, None
     while True:
-        meetings = materialize(spark, met.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1"), "meetings")
-        few = met.join(meetings.where(F.col("c") <= SMALL).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
+        sizes = materialize(spark, met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
+        few = met.join(sizes.where(F.col("c") <= SMALL).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
         beside = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-        few = few.select(F.inline(beside))
-        many = materialize(spark, met.join(meetings.where(F.col("c") > SMALL).select("key", "a"), "key").where("node != a").select("key", "a", F.col("node").alias("b")), "many")
-        edges = materialize(spark, edges.union(few).union(many.select("a", "b")).distinct(), "edges")
+        large = materialize(spark, met.join(sizes.where(F.col("c") > SMALL), "key"), "large")
+        often = materialize(spark, large.groupBy("node").agg(F.sum("c").alias("often")), "often")
+        center = large.join(often, "node").groupBy("key").agg(F.max_by("node", F.struct("often", -F.col("node"))).alias("a"))
+        many = materialize(spark, large.join(materialize(spark, center, "center"), "key").where("node != a").select("key", "band", "a", F.col("node").alias("b")), "many")
+        pairs = few.select(F.inline(beside)).union(many.select(F.least("a", "b"), F.greatest("a", "b")))
+        edges = materialize(spark, edges.union(pairs).distinct(), "edges")
         checked = materialize(spark, _check(spark, rows, sketch, edges, shingle, similarity), "checked")
         good = checked.where("alike").select("a", "b")
         alike = good if alike is None else alike.union(good)
-        met = materialize(spark, many.join(checked.where(~F.col("alike")).select("a", "b"), ["a", "b"], "left_semi").select("key", F.col("b").alias("node")), "met")
-        if met.isEmpty():
+        bad = checked.where(~F.col("alike")).select(F.col("a").alias("x"), F.col("b").alias("y"))
+        unlike = many.join(bad, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_semi").select("key", "band", F.col("b").alias("node"))
+        unlike = materialize(spark, unlike, "unlike")
+        if unlike.isEmpty():
             return connected_components(spark, alike)
-        edges = edges.limit(0)
+        further = bands.select("node", F.col("key").alias("key2"), F.col("band").alias("band2"))
+        met = unlike.join(further, "node").where("band2 > band").select(F.xxhash64("key", "key2").alias("key"), "node", F.col("band2").alias("band"))
+        met, edges = materialize(spark, met, "met"), edges.limit(0)
 
 
 def _check(spark, rows, sketch, edges, shingle, similarity) -> DataFrame:
