@@ -53,10 +53,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the row of the smallest doc_id."""
     n, alone = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
     node = F.col("doc_id").cast("long") if n == alone else F.xxhash64("doc_id", "text")
-    rows = docs.select(node.alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    if n != alone:
+    rows = docs.select(node.alias("node"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("id"))
+    if n != alone:  # rows alike in id and text are one node
         rows = rows.dropDuplicates(["node"])
-    groups = similar.similar_groups(spark, rows)
+    groups = similar.similar_groups(spark, rows.select("node", "text"))
+    if n != alone:
+        groups = common.materialize(spark, groups.join(rows.select("node", "id"), "node"), "groups")
+        first = groups.groupBy("root").agg(F.min_by("node", F.struct(F.col("id").isNull(), "id", "node")).alias("first"))
+        groups = groups.join(first, "root").select("node", F.col("first").alias("root"))
     i = common.fresh(docs, "gone_id")
     gone = common.materialize(spark, groups.where("node != root").select(F.col("node").alias(i)), "gone")
     return docs.join(common.broadcast_if_small(gone, gone.count(), 16), node == F.col(i), "left_anti")

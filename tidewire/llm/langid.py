@@ -33,16 +33,14 @@ for _a, _b in zip(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz",
 
 
 def _trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each byte trigram around a letter, and the number of the text it is in. None crosses texts."""
-    x = _MAP[data]
-    if len(x) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Bucket of each byte trigram around a letter, and the number of the text it is in. Texts begin and end with a blank."""
+    n = len(off) - 1
+    x = np.full(len(data) + n + 1, 32, np.uint8)
+    x[np.arange(len(data)) + np.repeat(np.arange(n) + 1, np.diff(off))] = _MAP[data]
     v = (x[:-2].astype(np.uint32) << 16) | (x[1:-1].astype(np.uint32) << 8) | x[2:]
-    own = x[1:-1] != 32
-    for edge in (off[1:-1] - 1, off[1:-1] - 2):
-        own[edge[(edge >= 0) & (edge < len(own))]] = False
-    at = np.flatnonzero(own)
-    return ((v[at] * np.uint32(2654435769)) >> np.uint32(32 - BUCKETS_BITS)).astype(np.int64), np.searchsorted(off, at, "right") - 1
+    at = np.flatnonzero(x[1:-1] != 32)
+    bucket = (v[at] * np.uint32(2654435769)) >> np.uint32(32 - BUCKETS_BITS)
+    return bucket.astype(np.int64), np.searchsorted(off[:-1] + np.arange(n), at, "right") - 1
 
 
 @dataclass
