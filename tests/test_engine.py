@@ -158,6 +158,28 @@ def test_streams(spark, tmp_path):
     assert live.warm(ticks).first().n == 200
 
 
+def test_backlog_warms_without_reporting(spark, tmp_path):
+    live.configure(spark)
+    backlog = spark.createDataFrame(then(CALM, (5, 0.97, 20000.0)), TICK)  # its own shock isn't reported, but starts a cooldown
+    last = backlog.orderBy(F.desc("seq")).first()
+    more = [("SYN", last.seq + 1, last.ts + 5, last.price * 0.97, 20000.0), ("SYN", last.seq + 2, last.ts + 10, last.price * 1.05, 90000.0), ("NEW", 1, 0.0, 1.0, 1.0)]
+    ticks = spark.createDataFrame(more, TICK)
+    ticks.write.parquet(f"{tmp_path}/t")
+    q = live.live_moves(spark.readStream.schema(ticks.schema).parquet(f"{tmp_path}/t"), backlog=backlog).writeStream.format("memory").queryName("warmed").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.table("warmed").collect()
+    assert [(r.seq, r.ret > 0, r.reversal) for r in got] == [(last.seq + 2, True, True)]
+
+
+def test_described(spark):
+    news = [(1, "n1", "OPEC announces surprise output cut", "reuters", 0.0, "", [], "")]
+    items = spark.createDataFrame(news, "seq long, id string, headline string, source string, ts double, body string, symbols array<string>, url string")
+    alerts, _ = follow.follow(spark, items, spark.createDataFrame(then(CALM, (5, 0.97, 20000.0)), TICK))
+    got = sorted(r.described for r in follow.describe(alerts).collect())
+    assert got[0].startswith("[CRITICAL] unexplained_move (SYN) score=") and " :: SYN down " in got[0]
+    assert got[1].startswith("[IMPORTANT] news_critical (-) score=56 :: OPEC announces surprise output cut | cat=geopolitics_supply")
+
+
 def test_sinks(spark, tmp_path, capsys):
     lines = spark.createDataFrame([(0.0, 4, "US", "", "", "B", ["A"], "s", "", "news_critical", "B", "00:00:00 *(US) B"), (1.0, 1, "", "", "", "C", [], "s", "", "", " ", "00:00:01 -C")], "ts double, priority int, region string, org string, speaker string, body string, symbols array<string>, source string, url string, note string, spoken string, line string")
     sinks.append_log(lines, f"{tmp_path}/log")
@@ -181,3 +203,39 @@ def test_asof_direction(spark):
     n = spark.createDataFrame([(7, 10.0, ["A", "B"]), (8, 11.0, ["A"])], "seq long, ts double, symbols array<string>")
     assert correlate.moves_with_news(m, n, 5.0).first().news.seq == 7
     assert {r.seq: r.move and r.move.seq for r in correlate.news_with_moves(n, m, 5.0).collect()} == {7: None, 8: 1}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidewire import cli
+
+    class Canned:
+        def get(self, url, now=None):
+            if "federalreserve" in url:
+                return http.Answer(200, RSS.replace(b"Second", b"OPEC announces surprise output cut"))
+            return http.Answer(200, b"<rss><channel></channel></rss>") if "ecb" in url else http.Answer(0, error="down")
+
+    assert cli.main(["--check"], spark, Canned()) == 20
+    out = capsys.readouterr().out
+    assert "Fed press" in out and "OK" in out and "EMPTY" in out and "DEAD" in out
+    assert cli.main(["--replay", "--limit", "50", "--min-priority", "NORMAL"], spark, Canned()) == 0
+    out = capsys.readouterr().out
+    assert "(OPEC) ANNOUNCES SURPRISE OUTPUT CUT" in out and "duplicate of" in out and "no market-relevant category matched" in out
+
+
+def test_live_tape(spark, tmp_path):
+    """What the stream emits has what a tape line needs."""
+    ticks = spark.createDataFrame(then(CALM, (5, 0.97, 20000.0)), TICK)
+    items = spark.createDataFrame([(1, "OPEC announces surprise output cut", "reuters", 0.0)], "seq long, headline string, source string, ts double")
+    live.configure(spark)
+    ticks.write.parquet(f"{tmp_path}/t")
+    items.write.parquet(f"{tmp_path}/i")
+    seen = []
+
+    def write(batch, n):
+        item = F.when(F.col("headline").isNotNull(), F.struct("headline", "source", F.lit("").alias("url")))
+        move = F.when(F.col("symbol").isNotNull(), F.struct("symbol", *live.SIZE))
+        seen.extend(r.body for r in follow.tape(batch.select("kind", "priority", "ts", "reason", "symbols", item.alias("item"), move.alias("move"))).collect())
+
+    read = lambda n, df: spark.readStream.schema(df.schema).parquet(f"{tmp_path}/{n}")
+    live.observed(live.live_alerts(read("i", items), read("t", ticks))).writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(seen)[0] == "ANNOUNCES SURPRISE OUTPUT CUT" and sorted(seen)[1].startswith("SYN ▼ ") and seen[-1] != ""

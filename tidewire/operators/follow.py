@@ -88,6 +88,17 @@ def tape(alerts: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     return out.withColumns({"spoken": S.spoken(F.col("body"), F.col("region")), "line": S.render(F.col("body"), F.col("region"), F.col("priority"), F.col("ts"))})
 
 
+def describe(alerts: DataFrame) -> DataFrame:
+    """alerts with described: [PRIORITY] kind (SYMBOLS) score=N :: headline or move | reason"""
+    move = moves.describe(*[F.col(f"move.{c}") for c in ("symbol", "ret", "window_s", "z", "volume_ratio")])
+    names = F.when(F.size("symbols") > 0, F.array_join("symbols", ",")).otherwise("-")
+    text = F.concat(
+        F.lit("["), score.priority_name(F.col("priority")), F.lit("] "), F.col("kind"), F.lit(" ("), names, F.lit(") score="), T.fixed(F.col("score"), 0),
+        F.lit(" :: "), F.coalesce("item.headline", move, F.lit("")), F.lit(" | "), F.col("reason"),
+    )
+    return alerts.withColumn("described", text)
+
+
 def replay(spark: SparkSession, items: DataFrame, min_priority: int = rules.NORMAL, watchlist: tuple[str, ...] = (), limit: int = 0) -> tuple[DataFrame, DataFrame]:
     """(tape lines, drop histogram) of the latest `limit` headlines (0: all), with staleness off and no ticks."""
     if limit:

@@ -19,9 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/tidewire-{uuid.uuid4().hex}/{name}"
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, which ends its lineage."""
-    path = f"{shared_folder(spark)}/tidewire-{uuid.uuid4().hex}/{name}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
