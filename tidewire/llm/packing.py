@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -32,6 +33,30 @@ _OTHERS = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-¬®-įĲ-ſ]|<\\|")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\t\\n\\r {_LETTER}{_NUMBER}]+")
 
 
+def _byte_letters() -> list[str]:
+    """The character that byte-level files write for each byte: itself if it prints, else one from U+0100 on, in order."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(k if k in prints else next(others)) for k in range(256)]
+
+
+_LETTERS = _byte_letters()
+
+
+class _Words(dict):
+    """Ids of each word, as little-endian bytes, found when first asked for."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        letters = word if word.isascii() else "".join([_LETTERS[b] for b in word.encode()])
+        ids = self[word] = struct.pack(f"<{len(t)}I", *[x.id for x in t]) if (t := self.model.tokenize(letters)) else b""
+        return ids
+
+
 class WordTokens:
     """Ids of the word-level BPE file by remembering the ids of words.
 
@@ -43,33 +68,12 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for piece, k in self.tokenizer.get_vocab().items():
-            self.ends[k] = piece.endswith("</w>")
-        self.known: dict[str, bytes] = {}
+        self.known = _Words(self.tokenizer.model)
 
     def ids(self, text: str) -> np.ndarray:
         if _OTHERS.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        words = _WORDS.findall(text.lower())
-        known = self.known
-        try:
-            return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
-        except KeyError:
-            if len(known) > KEPT_WORDS:
-                known.clear()
-            self._learn([w for w in dict.fromkeys(words) if w not in known])
-        return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        cut = np.flatnonzero(self.ends[ids]) + 1
-        if len(cut) == len(words) and (not len(cut) or cut[-1] == len(ids)):
-            at = [0, *cut.tolist()]
-            self.known.update((w, ids[i:j].tobytes()) for w, i, j in zip(words, at, at[1:], strict=False))
-        else:  # some word isn't one to the tokenizer
-            for w in words:
-                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, _WORDS.findall(text.lower()))), "<u4")
 
 
 @lru_cache(2)
