@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import spread
 from . import chat, common, decontam, exact_dedup, langid, packing, pii, secret_scan, sharding, simhash, suffix
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 ARRIVALS = 12
@@ -86,6 +87,21 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(spark, _table(spark, sf_dir, "documents")).drop("kept")
 
 
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT *, CAST(length(x) / 2 AS BIGINT) AS n FROM d),
+w AS (SELECT doc_id, s, md5(substr(x, 2 * s + 1, 200)) AS k FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS s FROM b WHERE n >= 100)),
+g AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM w) WHERE r > 1),
+e AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS first FROM g),
+i AS (SELECT doc_id, min(s) AS lo, max(s) + 100 AS hi FROM (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY s) AS part FROM e) GROUP BY doc_id, part),
+k AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS lo, lo AS hi FROM i UNION ALL SELECT doc_id, max(hi), NULL FROM i GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * lo + 1, 2 * (coalesce(hi, n) - lo)), '' ORDER BY lo) AS rest FROM k JOIN b USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM i GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, x))) AS kept_sha256
+FROM b LEFT JOIN kept USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.decontaminate(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -141,6 +157,40 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example", "n_weak")
 
 
+def _op8_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    # RE2 has no look-behind: what stands before a vendor token is a group of its own, and doesn't count.
+    vendor = "(^|[^A-Za-z0-9_-])(" + secret_scan.VENDOR.partition("(?:")[2]
+    found = []
+    for k, (_, pattern, group, least) in enumerate(secret_scan.KINDS):
+        p, lead = quote(pattern), "NULL"
+        if k >= secret_scan.BASE:
+            p, group = quote(vendor), 2
+            lead = f"regexp_extract_all(t, {p}, 1)"
+        found.append(
+            f"SELECT doc_id, source, {k} AS k, {least} AS least, regexp_split_to_array(t, {p}) AS gaps, regexp_extract_all(t, {p}, 0) AS hits, {lead}::VARCHAR[] AS leads, "
+            f"regexp_extract_all(t, {p}, {group}) AS secrets FROM d WHERE regexp_matches(t, {p})"
+        )
+    shown = "string_agg(['assign', 'access', 'hex', 'vendor'][k + 1] || ':' || start || ':' || stop, ',' ORDER BY start, k)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+a AS ({" UNION ALL ".join(found)}),
+m AS (SELECT doc_id, source, k, least, i, length(gaps[i]) AS gap, length(hits[i]) AS n, coalesce(length(leads[i]), 0) AS lead, secrets[i] AS secret FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM a)),
+f AS (SELECT *, sum(gap + n) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop FROM m),
+s AS (SELECT doc_id, source, k, CAST(stop - n + lead AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, secret FROM f WHERE length(secret) >= least),
+o AS (SELECT secret, count(DISTINCT source) AS owners FROM s GROUP BY secret),
+v AS (SELECT s.*, CASE WHEN owners >= {secret_scan.SHARED_OWNERS} THEN 'example' WHEN length(secret) >= {secret_scan.LIVE_CHARS} AND regexp_matches(secret, '[A-Za-z]') AND regexp_matches(secret, '[0-9]') THEN 'live' ELSE 'weak' END AS verdict FROM s JOIN o USING (secret)),
+g AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, {shown} FILTER (k < 3) AS base, {shown} FILTER (k < 3 OR verdict = 'live') AS spans,
+    count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example, count(*) FILTER (verdict = 'weak') AS n_weak
+  FROM v GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(n_weak, 0) AS n_weak
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -158,4 +208,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op5_decontamination": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op1_sharding": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_suffix_array_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_secret_scan": _op8_sql()}
