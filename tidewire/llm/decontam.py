@@ -14,7 +14,7 @@ from .common import chunks, utf8
 WINDOW = 10
 PATTERN_BYTES = 32 << 20
 """Bytes of benchmark text in one broadcast block; a larger benchmark is searched in several blocks."""
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 #: Lower-cased word bytes, and a blank for every other ASCII byte.
 _MAP = np.arange(256, dtype=np.uint8)

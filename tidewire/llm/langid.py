@@ -23,7 +23,7 @@ STRENGTH = 8.0
 """Rows that a parent's prior counts for in its child's."""
 INDEPENDENT = 100
 """Trigrams of a text count as so many independent ones at most, as neighbours share letters and topics."""
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 #: Letters in lower case (bytes above ASCII stand for themselves), and a blank for anything else.
 _MAP = np.full(256, 32, np.uint8)
