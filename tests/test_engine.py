@@ -57,6 +57,21 @@ def test_frames_equal_the_fold(spark):
         assert r.volume_60 == pytest.approx(sum(v for _, _, t, _, v in seen if t > r.ts - 60))
 
 
+def test_look_back_in_any_order():
+    r = random.Random(2)
+    cfg = rules.MoveConfig(windows_s=(10.0, 40.0), history_s=100.0)
+    st, ts = moves.SymbolState(), 0.0
+    for k in range(600):
+        ts += r.choice((0.0, 1.0, 5.0, 30.0, 200.0 if r.random() < 0.02 else 1.0)) if r.random() > 0.03 else -7.0
+        st.ticks.append((ts, float(k), float(r.randint(0, 9))))
+        while st.ticks[0][0] < ts - cfg.history_s:
+            st.ticks.popleft()
+        anchors, volumes = moves.look_back(st, ts, cfg)
+        for w, a, v in zip(cfg.windows_s, anchors, volumes, strict=True):
+            before = [p for t, p, _ in st.ticks if t <= ts - w]
+            assert a == (before[-1] if before else None) and v == sum(x for t, _, x in st.ticks if t > ts - w)
+
+
 def test_correlation_both_ways(spark):
     news = [(1, "n1", "OPEC announces surprise output cut", "reuters", 0.0, "", ["TSN"], "")]
     schema = "seq long, id string, headline string, source string, ts double, body string, symbols array<string>, url string"

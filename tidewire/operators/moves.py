@@ -18,9 +18,25 @@ MOVE = "symbol string, seq long, ts double, ret double, window_s double, sigma d
 BASELINE = "symbol string, seq long, ts double, n long, sigma_per_s double, vol_per_s double"
 
 
+@dataclass
+class Look:
+    """A look-back window that follows ticks in order of time: those inside, their volume, and the last that left."""
+
+    inside: deque = field(default_factory=deque)
+    volume: float = 0.0
+    anchor: tuple | None = None
+
+    def take(self, tick: tuple, start: float) -> None:
+        self.inside.append(tick)
+        self.volume += tick[2]
+        while self.inside and self.inside[0][0] <= start:
+            self.anchor = self.inside.popleft()
+            self.volume = self.volume - self.anchor[2] if self.inside else 0.0
+
+
 @dataclass
 class SymbolState:
-    """What the detector remembers of a symbol."""
+    """What the detector remembers of a symbol. looks are made from the ticks when first needed."""
 
     ticks: deque = field(default_factory=deque)
     var: float = 0.0
@@ -28,6 +44,36 @@ class SymbolState:
     n: int = 0
     fired: dict = field(default_factory=lambda: {1: 0.0, -1: 0.0})
     last: int = 0
+    looks: list[Look] | None = None
+
+
+def look_back(st: SymbolState, ts: float, cfg: rules.MoveConfig) -> tuple[list, list]:
+    """For each window the price of the latest-arrived tick at or before its start, and the volume since. Constant work a
+    tick while times ascend; a tick that comes late has the whole history looked through."""
+    ticks, last = st.ticks, st.ticks[-1]
+    if st.looks is None:
+        times = [t for t, _, _ in ticks]
+        if all(x <= y for x, y in zip(times, times[1:], strict=False)):
+            st.looks = [Look() for _ in cfg.windows_s]
+            for tick in ticks:
+                for look, w in zip(st.looks, cfg.windows_s, strict=True):
+                    look.take(tick, tick[0] - w)
+    elif len(ticks) > 1 and ticks[-2][0] > ts:
+        st.looks = None
+    else:
+        for look, w in zip(st.looks, cfg.windows_s, strict=True):
+            look.take(last, ts - w)
+    if st.looks is not None:
+        kept = [x.anchor if x.anchor and x.anchor[0] >= ts - cfg.history_s else None for x in st.looks]
+        return [k and k[1] for k in kept], [x.volume for x in st.looks]
+    anchors, volumes = [None] * len(cfg.windows_s), [0.0] * len(cfg.windows_s)
+    for t, p, v in ticks:
+        for k, w in enumerate(cfg.windows_s):
+            if t <= ts - w:
+                anchors[k] = p
+            else:
+                volumes[k] += v
+    return anchors, volumes
 
 
 def baseline_step(st: SymbolState, dt: float, logret: float, volume: float, alpha: float) -> None:
@@ -56,15 +102,9 @@ def detect(st: SymbolState, ts: float, price: float, volume: float, cfg: rules.M
     st.ticks.append((ts, price, volume))
     while st.ticks and st.ticks[0][0] < ts - cfg.history_s:
         st.ticks.popleft()
+    anchors, volumes = look_back(st, ts, cfg)
     if st.n < cfg.warmup or price <= 0:
         return None
-    anchors, volumes = [None] * len(cfg.windows_s), [0.0] * len(cfg.windows_s)
-    for t, p, v in st.ticks:
-        for k, w in enumerate(cfg.windows_s):
-            if t <= ts - w:
-                anchors[k] = p
-            else:
-                volumes[k] += v
     best = None
     for w, p0, traded in zip(cfg.windows_s, anchors, volumes, strict=True):
         if p0 is None or p0 <= 0:

@@ -66,6 +66,17 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items (seq, id, headline, source, ts, body, symbols, url): one for every order, at times spread over its day."""
+    kinds = ("click", "view", "purchase", "signup", "login")
+    rows = spread(spark, table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    filled = F.replace(_pick(TEMPLATES, F.pmod(F.col("o_orderkey") * 5 + F.col("o_custkey"), F.lit(len(TEMPLATES)))), F.lit("{n}"), (F.col("o_custkey") % 50 + 1).cast("string"))
+    return rows.select(
+        F.col("o_orderkey").alias("seq"), F.col("o_orderkey").cast("string").alias("id"), filled.alias("headline"), _pick(SOURCES, F.pmod(F.col("o_custkey"), F.lit(len(SOURCES)))).alias("source"),
+        (epoch("o_orderdate") + F.pmod(F.col("o_orderkey") * 7919, F.lit(86400))).alias("ts"), F.lit("").alias("body"), F.array(_pick(kinds, F.pmod("o_orderkey", F.lit(5)))).alias("symbols"), F.lit("").alias("url"),
+    )
+
+
 _LIST = lambda v: "[" + ", ".join(quote(x) for x in v) + "]"
 HEADLINES_SQL = f"""
 h AS (

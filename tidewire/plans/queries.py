@@ -255,8 +255,7 @@ def speech_order(spark: SparkSession, d: str) -> DataFrame:
 
 def followed_alerts(spark: SparkSession, d: str) -> DataFrame:
     """The whole follower: headlines tagged with event types, and ticks; alerts as tape lines."""
-    kinds = ("click", "view", "purchase", "signup", "login")
-    items = I.headlines(spark, d).withColumns({"id": F.col("seq").cast("string"), "body": F.lit(""), "url": F.lit(""), "symbols": F.array(I._pick(kinds, F.pmod("seq", F.lit(5))))})
+    items = I.order_items(spark, d)
     alerts, _ = follow.follow(spark, items, I.ticks(spark, d), rules.FollowConfig(move=I.MOVES))
     return follow.tape(alerts, registry.sources(spark)).groupBy("note", "priority").agg(F.count("*").alias("n"))
 
