@@ -178,14 +178,25 @@ def _micros(ts: Column) -> Column:
 
 def anchors(ticks: DataFrame, windows_s: tuple[float, ...], history_s: float) -> DataFrame:
     """ticks with anchor_<w> and volume_<w> for each look-back window: the last price at or before ts - w within the history,
-    and the volume since then, the tick's own included. Native window frames; (symbol, ts) must be unique."""
-    by = Window.partitionBy("symbol").orderBy("_at")
-    out = ticks.withColumn("_at", _micros(F.col("ts")))
-    for w in windows_s:
-        far, near = int(history_s * 1_000_000), int(w * 1_000_000)
-        out = out.withColumn(f"anchor_{w:g}", F.last("price").over(by.rangeBetween(-far, -near)))
-        out = out.withColumn(f"volume_{w:g}", F.coalesce(F.sum("volume").over(by.rangeBetween(-near + 1, Window.currentRow)), F.lit(0.0)))
-    return out.drop("_at")
+    and the volume since then, the tick's own included; (symbol, seq) and (symbol, ts) must be unique.
+
+    A sliding range frame would look through its whole range for every row. Here each tick also asks at ts - w, and one
+    running window over ticks and questions in order of time answers all: a volume is the difference of two running sums.
+    """
+    lags = {0: None} | {int(w * 1_000_000): w for w in windows_s}
+    base = ticks.withColumns({"_at": _micros(F.col("ts")), "_tick": F.struct(*ticks.columns)})
+    each = base.select("symbol", "seq", "_at", "_tick", F.explode(F.array(*[F.lit(x) for x in lags])).alias("_lag"))
+    own = F.col("_lag") == 0
+    by = Window.partitionBy("symbol").orderBy(F.col("_at") - F.col("_lag"), "_lag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumns(
+        {"_last": F.last(F.when(own, F.struct("_tick.price", "_at")), ignorenulls=True).over(by), "_sum": F.sum(F.when(own, F.col("_tick.volume")).otherwise(0.0)).over(by)}
+    )
+    asked = lambda x, v: F.max(F.when(F.col("_lag") == x, v))
+    near = F.col("_last._at") >= F.col("_at") - int(history_s * 1_000_000)
+    found = {f"anchor_{w:g}": asked(x, F.when(near, F.col("_last.price"))) for x, w in lags.items() if w is not None}
+    found |= {f"volume_{w:g}": asked(0, F.col("_sum")) - asked(x, F.col("_sum")) for x, w in lags.items() if w is not None}
+    out = each.groupBy("symbol", "seq").agg(asked(0, F.col("_tick")).alias("_tick"), *[v.alias(k) for k, v in found.items()])
+    return out.select("_tick.*", *found)
 
 
 def describe(symbol: Column, ret: Column, window_s: Column, z: Column, volume_ratio: Column) -> Column:
