@@ -196,11 +196,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web pages, by a text model fitted on a bounded sample of labelled documents."""
-    model = langid.fit_text_model(_table(spark, sf_dir, "documents"))
+    """Web pages by page_id, and documents by doc_id, whose source stands for the host and lang for declared markup. The text
+    model is fitted on a bounded sample of documents."""
+    table = _table(spark, sf_dir, "documents")
+    none = F.lit(None).cast("long")
+    docs = table.select("doc_id", none.alias("page_id"), "text", F.col("source").alias("host"), F.col("lang").alias("declared"))
     html = F.col("html")
-    pages = _table(spark, sf_dir, "pages").select("page_id", langid.text_of(html).alias("text"), langid.host_of(F.col("url")).alias("host"), langid.declared_in(html).alias("declared"))
-    return langid.identify(spark, pages, model, ["page_id"])
+    pages = _table(spark, sf_dir, "pages").select(none.alias("doc_id"), "page_id", langid.text_of(html).alias("text"), langid.host_of(F.col("url")).alias("host"), langid.declared_in(html).alias("declared"))
+    return langid.identify(spark, docs.unionByName(pages), langid.fit_text_model(table), ["doc_id", "page_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
