@@ -199,7 +199,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages by page_id, and documents by doc_id, whose source stands for the host and lang for declared markup. The text
     model is fitted on a bounded sample of documents."""
     table = _table(spark, sf_dir, "documents")
-    none = F.lit(None).cast("long")
+    none = F.lit(-1).cast("long")  # the id that a row of the other table has
     docs = table.select("doc_id", none.alias("page_id"), "text", F.col("source").alias("host"), F.col("lang").alias("declared"))
     html = F.col("html")
     pages = _table(spark, sf_dir, "pages").select(none.alias("doc_id"), "page_id", langid.text_of(html).alias("text"), langid.host_of(F.col("url")).alias("host"), langid.declared_in(html).alias("declared"))
