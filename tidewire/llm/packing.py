@@ -236,6 +236,6 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: in
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = materialize(spark, sums.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "sums")
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = dealt.withColumn("nth", F.row_number().over(within) - 1).join(sums, ["length", "bucket"])
+    ranked = dealt.withColumn("nth", F.row_number().over(within) - 1).join(sums.hint("merge"), ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).cast("long").alias("rank"))
     return ranked.mapInArrow(_Place(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
