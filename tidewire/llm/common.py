@@ -7,11 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import new_folder
 
+BATCH_BYTES = 16 << 20
+"""Bytes of an Arrow batch of texts; Spark's own limit is four times as much, of which JVM and Python hold several copies."""
+
+if TaskContext.get() is not None:  # in an executor's Python worker, give freed batches back to the system
+    pa.set_memory_pool(pa.system_memory_pool())
+
 BROADCAST_LIMIT = 8 << 20
 """Bytes up to which a counted table may be broadcast; beyond it joins shuffle."""
 
@@ -23,6 +30,13 @@ def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches to BATCH_BYTES where the session leaves Spark's default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with as many underscores before it as it takes to be none of df's columns."""
     taken = {c.lower() for c in df.columns}

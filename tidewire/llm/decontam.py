@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, utf8
+from .common import bound_batches, chunks, utf8
 
 WINDOW = 10
 PATTERN_BYTES = 32 << 20
@@ -138,6 +138,7 @@ def decontaminate(
     patterns: nothing is hit. Items without an id count under the id "". Repeated items count once. Null doc_ids,
     repeated rows and other columns: kept as they are.
     """
+    bound_batches(spark)
     blocks = _blocks(spark, benchmark, item_id, item_text, block_bytes)
     ids = docs.schema.names if clean else [doc_id]
     inner = [f"c{k}" for k in range(len(ids))]

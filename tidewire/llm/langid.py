@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, utf8
+from .common import bound_batches, chunks, materialize, utf8
 
 SAMPLE_ROWS = 2000
 """Labelled rows that the text model is fitted on at most, those of the smallest hashes."""
@@ -121,6 +121,7 @@ def identify(spark: SparkSession, rows: DataFrame, model: TextModel, keys: list[
     empty text is rejected, its language the prior's. Null host or declared: empty. Null keys, repeated rows: kept. No
     languages in the model: all are "und". Empty table: no rows. Other columns are ignored.
     """
+    bound_batches(spark)
     langs, n = model.languages, len(model.languages)
     inner = [f"k{i}" for i in range(len(keys))]
     host = F.lower(F.coalesce(F.col("host").cast("string"), F.lit("")))

@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import bound_batches, materialize
 
 CAPACITY = 2048
 END = 0
 """Id that closes a document."""
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 """Words whose ids a worker remembers; it affects speed only."""
 BUCKET_ROWS = 20_000
 """Pieces of one length that are numbered together."""
@@ -225,6 +225,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: in
     Null text: empty, which packs as END alone. Null doc_id, repeated rows: each row is packed. Empty table: no rows.
     Other columns are ignored.
     """
+    bound_batches(spark)
     pieces = materialize(spark, token_pieces(docs, tokenizer_path, capacity, doc_id, text), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     if not counts:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: The base patterns.
 BASE = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
@@ -315,6 +317,7 @@ def find_personal_data(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_
     Null or empty text: no spans. Null doc_id and repeated rows: kept. Of spans that overlap, base ones all stay and added
     ones are left out. Empty table: no rows. Other columns are ignored.
     """
+    bound_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     span = "array<struct<kind:string,start:int,end:int>>"
     return rows.mapInArrow(_Find(trained()), f"doc_id long, base {span}, spans {span}")

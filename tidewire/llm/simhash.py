@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, utf8
+from .common import bound_batches, connected_components, materialize, utf8
 
 BITS = 64
 RADIUS = 3
@@ -192,6 +192,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id"
     Null doc_id: its row takes part; it is never a component_id unless the component has no other (then null).
     Repeated rows: each is returned. Empty table: no rows. Other columns are ignored.
     """
+    bound_batches(spark)
     rows = materialize(spark, fingerprints(docs, doc_id, text, shingle), "fingerprints")
     fps = materialize(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected_components(spark, links(spark, fps))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import broadcast_if_small, chunks, connected_components, materialize, utf8
+from .common import bound_batches, broadcast_if_small, chunks, connected_components, materialize, utf8
 from .suffix import _mix, _sums
 
 BANDS, ROWS = 24, 6
@@ -132,6 +132,7 @@ def similar_groups(spark: SparkSession, rows: DataFrame, shingle: int = 5, simil
     further band, which leaves few. An estimate from the minima decides where it is SURE from the threshold, the shingle
     sets elsewhere. Texts without words: no group. Null text: empty.
     """
+    bound_batches(spark)
     sketch = materialize(spark, rows.select("node", "text").mapInArrow(_Sketch(shingle), "node long, sig binary, fp long, n long").where("n > 0"), "sketch")
     bands = materialize(spark, sketch.select("node", "sig").mapInArrow(_bands, "key long, node long, band int"), "bands")
     fps = materialize(spark, sketch.groupBy("fp").agg(F.min("node").alias("node")), "fps")

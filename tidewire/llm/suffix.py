@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, utf8
+from .common import bound_batches, chunks, materialize, utf8
 
 LENGTH = 100
 """Bytes of a repeated string."""
@@ -436,6 +436,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id",
     Null text: empty. Null doc_id: before all others. Rows that share a doc_id aren't earlier than one another, only than
     larger doc_ids. Texts of under LENGTH bytes keep everything. Empty table: no rows. Other columns are ignored.
     """
+    bound_batches(spark)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE)).alias("d"), body.alias("text"))
     n, alone, size = rows.agg(F.count("*"), F.countDistinct("d"), F.sum(F.octet_length("text"))).first()
