@@ -25,6 +25,8 @@ KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 """Labels of the field. The last two have no base pattern."""
 MOST_TOKENS = 24
 """Tokens of the longest segment that is scored as an entity."""
+MOST_CHARS = 80
+"""Characters of it."""
 CONTEXT = 3
 """Words around a trigger that belong to its region."""
 TRAINED_ON = 240
@@ -162,6 +164,8 @@ class SemiMarkov:
             if text[cut[a]].isspace():
                 continue
             for b in range(a + 1, min(a + MOST_TOKENS, len(cut) - 1) + 1):
+                if cut[b] - cut[a] > MOST_CHARS:
+                    break
                 s = text[cut[a] : cut[b]]
                 if s[-1].isspace() or s[-1] == "\n" or not (_DIGITS.search(s) or " dot " in s or "dot]" in s or "dot)" in s):
                     continue
