@@ -208,3 +208,30 @@ def test_similar_groups(spark, monkeypatch):
     got = {x.node: x.root for x in similar.similar_groups(spark, df).collect()}
     assert all(want[x] == want[y] for x, y in got.items()) and len(got) >= 0.95 * len(want)
     assert similar.similar_groups(spark, spark.createDataFrame([], "node long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("block", [1 << 19, 1 << 13])
+def test_similar_crowds(spark, monkeypatch, block):
+    """A template that hundreds share below the threshold, with chains of edited copies in it, whose links lie just above it.
+    SMALL=2 has the meetings of a crowd many times larger; block=1<<13 makes many blocks."""
+    monkeypatch.setattr(similar, "SMALL", 2)
+    monkeypatch.setattr(similar, "BLOCK", block)
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(5000)]
+    head, texts = [r.choice(words) for _ in range(140)], []
+    for _ in range(120):
+        text = head + [r.choice(words) for _ in range(r.randint(24, 30))]
+        for _ in range(r.choice((1, 2, 3))):
+            texts.append(" ".join(text))
+            text = list(text)
+            for k in r.sample(range(8, len(text) - 8, 8), 3):  # 17 of some 163 shingles
+                text[k] = r.choice(words)
+            text[k + 2] = r.choice(words)
+    r.shuffle(texts)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = {(a, b) for a in range(len(texts)) for b in range(len(texts)) if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    root = components(list(range(len(texts))), lambda a, b: (a, b) in links)
+    want = {k: root[k] for k in range(len(texts)) if root.count(root[k]) > 1}
+    assert len(set(want.values())) > 10 and max(root.count(x) for x in root) < len(texts) / 2
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    assert {x.node: x.root for x in similar.similar_groups(spark, df).collect()} == want

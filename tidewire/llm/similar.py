@@ -20,10 +20,13 @@ from .suffix import _mix, _sums
 BANDS, ROWS = 24, 6
 """Bands of minima, and minima in each: a pair at 0.8 shares a band but for 1 of 1,500, one at 0.9 but for 1 of 10**7."""
 SMALL = 32
-"""Members up to which a meeting compares everyone; larger ones compare all with the least, in rounds."""
+"""Members up to which a meeting compares everyone as rows; larger ones compare all with one, and in blocks who is left apart."""
+BLOCK, MEMBERS = 1 << 19, 128
+"""Shingles in a block of such a meeting, and members, at most on average."""
 SURE = 0.1
 """Links whose estimate is this far from the threshold aren't counted out exactly."""
 CHUNK = 1 << 20
+COLUMNS = 1 << 12
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = list(b"abcdefghijklmnopqrstuvwxyz")
@@ -117,6 +120,43 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(j, pa.float64())], names=["a", "b", "j"])
 
 
+def _joined(similarity):
+    """Of the members of one or two blocks (node, root, set), links that join all roots with alike members."""
+
+    def joined(t: pa.Table) -> pa.Table:
+        node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count[code] > 1
+        who, col = np.repeat(np.arange(len(node)), size)[shared], (np.cumsum(count > 1) - 1)[code[shared]]
+        order = np.argsort(col, kind="stable")
+        who, col = who[order], col[order]
+        both = np.zeros((len(node), len(node)))
+        for lo in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+            i, j = np.searchsorted(col, (lo, lo + COLUMNS))
+            has = np.zeros((len(node), COLUMNS), np.float32)
+            has[who[i:j], col[i:j] - lo] = 1
+            both += has @ has.T
+        alike = both / np.maximum(1, size[:, None] + size[None, :] - both) >= similarity
+        up = {r: r for r in root.tolist()}
+
+        def top(r):
+            while up[r] != r:
+                up[r] = r = up[up[r]]
+            return r
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(alike & (root[:, None] != root[None, :]), 1)), strict=True):
+            x, y = top(int(root[i])), top(int(root[j]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((min(node[i], node[j]), max(node[i], node[j])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return joined
+
+
 def _beside(edges: DataFrame, values: DataFrame, name: str) -> DataFrame:
     """edges (a, b) with the value of either end."""
     for end in "ab":
@@ -127,41 +167,68 @@ def _beside(edges: DataFrame, values: DataFrame, name: str) -> DataFrame:
 def similar_groups(spark: SparkSession, rows: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, root) of every row of rows (node long, unique; text) with a near duplicate; root is the group's least node.
 
-    Candidates meet in SimHash balls and in bands of minima. A meeting of up to SMALL compares everyone; a larger one
-    compares all with the member that meets most others, and those that prove unlike it meet again where they share a
-    further band, which leaves few. An estimate from the minima decides where it is SURE from the threshold, the shingle
-    sets elsewhere. Texts without words: no group. Null text: empty.
+    Candidates meet in SimHash balls and in bands of minima. A meeting of up to SMALL compares everyone. A larger one first
+    compares all with the member that meets most others, which joins most of a group of copies; then all pairs of its members
+    that nothing has joined yet are counted out, in blocks. An estimate from the minima decides where it is SURE from the
+    threshold, the shingle sets elsewhere. Texts without words: no group. Null text: empty.
     """
     bound_batches(spark)
     sketch = materialize(spark, rows.select("node", "text").mapInArrow(_Sketch(shingle), "node long, sig binary, fp long, n long").where("n > 0"), "sketch")
-    bands = materialize(spark, sketch.select("node", "sig").mapInArrow(_bands, "key long, node long, band int"), "bands")
+    bands = materialize(spark, sketch.select("node", "sig").mapInArrow(_bands, "key long, node long, band int").select("key", "node"), "bands")
     fps = materialize(spark, sketch.groupBy("fp").agg(F.min("node").alias("node")), "fps")
     by = fps.select(F.col("fp"), F.col("node").alias("n2"))
     ball = simhash.links(spark, fps).join(by.withColumnRenamed("fp", "a").withColumnRenamed("n2", "x"), "a").join(by.withColumnRenamed("fp", "b").withColumnRenamed("n2", "y"), "b")
     same = sketch.select("node", "fp").join(fps.select("fp", F.col("node").alias("x")), "fp").where("node != x")
     edges = ball.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(same.select(F.col("x").alias("a"), F.col("node").alias("b")))
-    met, alike = bands, None
-    while True:
-        sizes = materialize(spark, met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
-        few = met.join(sizes.where(F.col("c") <= SMALL).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
-        beside = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-        large = materialize(spark, met.join(sizes.where(F.col("c") > SMALL), "key"), "large")
-        often = materialize(spark, large.groupBy("node").agg(F.sum("c").alias("often")), "often")
-        center = large.join(often, "node").groupBy("key").agg(F.max_by("node", F.struct("often", -F.col("node"))).alias("a"))
-        many = materialize(spark, large.join(materialize(spark, center, "center"), "key").where("node != a").select("key", "band", "a", F.col("node").alias("b")), "many")
-        pairs = few.select(F.inline(beside)).union(many.select(F.least("a", "b"), F.greatest("a", "b")))
-        edges = materialize(spark, edges.union(pairs).distinct(), "edges")
-        checked = materialize(spark, _check(spark, rows, sketch, edges, shingle, similarity), "checked")
-        good = checked.where("alike").select("a", "b")
-        alike = good if alike is None else alike.union(good)
-        bad = checked.where(~F.col("alike")).select(F.col("a").alias("x"), F.col("b").alias("y"))
-        unlike = many.join(bad, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_semi").select("key", "band", F.col("b").alias("node"))
-        unlike = materialize(spark, unlike, "unlike")
-        if unlike.isEmpty():
-            return connected_components(spark, alike)
-        further = bands.select("node", F.col("key").alias("key2"), F.col("band").alias("band2"))
-        met = unlike.join(further, "node").where("band2 > band").select(F.xxhash64("key", "key2").alias("key"), "node", F.col("band2").alias("band"))
-        met, edges = materialize(spark, met, "met"), edges.limit(0)
+    sizes = materialize(spark, bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
+    few = bands.join(sizes.where(F.col("c") <= SMALL).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
+    beside = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    large = materialize(spark, bands.join(sizes.where(F.col("c") > SMALL), "key"), "large")
+    often = materialize(spark, large.groupBy("node").agg(F.sum("c").alias("often")), "often")
+    center = large.join(often, "node").groupBy("key").agg(F.max_by("node", F.struct("often", -F.col("node"))).alias("a"))
+    many = large.join(materialize(spark, center, "center"), "key").where("node != a").select(F.least("a", "node"), F.greatest("a", "node"))
+    edges = materialize(spark, edges.union(few.select(F.inline(beside))).union(many).distinct(), "edges")
+    checked = materialize(spark, _check(spark, rows, sketch, edges, shingle, similarity), "checked")
+    alike = checked.where("alike").select("a", "b")
+    groups = materialize(spark, connected_components(spark, alike), "groups")
+    more = _crowds(spark, rows, sketch, large.select("key", "node"), groups, shingle, similarity)
+    return groups if more is None else connected_components(spark, alike.union(more))
+
+
+def _crowds(spark, rows, sketch, large, groups, shingle, similarity) -> DataFrame | None:
+    """Links (a, b) enough to join all alike members of each meeting (key, node) that groups leaves apart, None if all are
+    together.
+
+    Members of one group needn't be compared, so a group too large for a block has blocks of its own, which meet those of
+    the others only; smaller ones share blocks. Every pair of blocks is one task of bounded size.
+    """
+    of = materialize(spark, large.join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "members")
+    apart = materialize(spark, of.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key"), "apart")
+    if apart.isEmpty():
+        return None
+    weight = F.greatest("n", F.lit(BLOCK // MEMBERS))
+    of = materialize(spark, of.join(broadcast_if_small(apart, apart.count(), 16), "key").join(sketch.select("node", weight.alias("w")), "node"), "apart_members")
+    parts = materialize(spark, of.groupBy("key", "root").agg(F.sum("w").alias("of_root")), "parts")
+    rest = parts.groupBy("key").agg(F.sum(F.when(F.col("of_root") <= BLOCK, F.col("of_root"))).alias("rest"))
+    parts = materialize(spark, parts.join(rest, "key").withColumn("alone", F.col("of_root") > BLOCK), "parts_rest")
+    deal = lambda c, total: F.pmod(F.xxhash64(c), F.ceil(F.col(total) / BLOCK))
+    block = F.when(F.col("alone"), F.xxhash64("root", deal("node", "of_root"))).otherwise(deal("root", "rest"))
+    of = of.join(parts, ["key", "root"]).select("key", "node", "root", F.when(F.col("alone"), F.col("root")).alias("own"), block.alias("block"))
+    of = materialize(spark, of, "blocks")
+    x = materialize(spark, of.select("key", "block", "own").distinct(), "block_keys")
+    y = x.select("key", F.col("block").alias("block2"), F.col("own").alias("own2"))
+    pairs = x.join(y, "key").where("block <= block2 and coalesce(own != own2, true)").withColumn("pair", F.xxhash64("key", "block", "block2"))
+    sides = pairs.select("key", "pair", F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    nodes = materialize(spark, of.select("node").distinct(), "ends")
+    dealt = of.select("key", "block", "node", "root").join(materialize(spark, sides, "sides"), ["key", "block"]).select("pair", "node", "root")
+    full = dealt.join(_sets(spark, rows, nodes, shingle), "node").select("pair", "node", "root", "set")
+    return materialize(spark, full.groupBy("pair").applyInArrow(_joined(similarity), "a long, b long").distinct(), "more")
+
+
+def _sets(spark, rows, nodes, shingle) -> DataFrame:
+    """(node, set) of nodes: the sorted hashes of all shingles."""
+    sets = rows.select("node", "text").join(broadcast_if_small(nodes, nodes.count(), 16), "node", "left_semi").mapInArrow(_Sets(shingle), "node long, set binary")
+    return materialize(spark, sets, "sets")
 
 
 def _check(spark, rows, sketch, edges, shingle, similarity) -> DataFrame:
@@ -170,6 +237,5 @@ def _check(spark, rows, sketch, edges, shingle, similarity) -> DataFrame:
     clear = F.abs(F.col("j") - similarity) >= SURE
     near = materialize(spark, rated.where(~clear).select("a", "b"), "near")
     ends = materialize(spark, near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "ends")
-    sets = rows.select("node", "text").join(broadcast_if_small(ends, ends.count(), 16), "node", "left_semi").mapInArrow(_Sets(shingle), "node long, set binary")
-    exact = _beside(near, materialize(spark, sets, "sets"), "set").mapInArrow(_exact, "a long, b long, j double")
+    exact = _beside(near, _sets(spark, rows, ends, shingle), "set").mapInArrow(_exact, "a long, b long, j double")
     return rated.where(clear).union(exact).select("a", "b", (F.col("j") >= similarity).alias("alike"))
