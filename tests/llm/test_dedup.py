@@ -235,3 +235,14 @@ def test_similar_crowds(spark, monkeypatch, block):
     assert len(set(want.values())) > 10 and max(root.count(x) for x in root) < len(texts) / 2
     df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
     assert {x.node: x.root for x in similar.similar_groups(spark, df).collect()} == want
+
+
+def test_links_are_counted_out(spark):
+    """Estimates that are far off: equal minima of texts at 0.5, and minima of which 0.67 are equal of equal texts."""
+    same = " ".join(f"w{k}" for k in range(60))
+    rows = spark.createDataFrame([(1, same), (2, " ".join(f"w{k}" for k in range(20, 80))), (3, same)], "node long, text string")
+    sig = np.arange(similar.BANDS * similar.ROWS, dtype=np.uint32)
+    far = np.where(sig % 3 == 0, sig + 1000, sig).astype(np.uint32)
+    sketch = spark.createDataFrame([(1, bytearray(sig.tobytes())), (2, bytearray(sig.tobytes())), (3, bytearray(far.tobytes()))], "node long, sig binary")
+    edges = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert {(x.a, x.b): x.alike for x in similar._check(spark, rows, sketch, edges, 5, 0.8).collect()} == {(1, 2): False, (1, 3): True}

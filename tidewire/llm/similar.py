@@ -23,8 +23,8 @@ SMALL = 32
 """Members up to which a meeting compares everyone as rows; larger ones compare all with one, and in blocks who is left apart."""
 BLOCK, MEMBERS = 1 << 19, 128
 """Shingles in a block of such a meeting, and members, at most on average."""
-SURE = 0.1
-"""Links whose estimate is this far from the threshold aren't counted out exactly."""
+SURE = 0.17
+"""Pairs whose estimate is this far below the threshold, five deviations at 0.8, aren't counted out exactly."""
 CHUNK = 1 << 20
 COLUMNS = 1 << 12
 
@@ -169,8 +169,8 @@ def similar_groups(spark: SparkSession, rows: DataFrame, shingle: int = 5, simil
 
     Candidates meet in SimHash balls and in bands of minima. A meeting of up to SMALL compares everyone. A larger one first
     compares all with the member that meets most others, which joins most of a group of copies; then all pairs of its members
-    that nothing has joined yet are counted out, in blocks. An estimate from the minima decides where it is SURE from the
-    threshold, the shingle sets elsewhere. Texts without words: no group. Null text: empty.
+    that nothing has joined yet are counted out, in blocks. An estimate from the minima dismisses pairs that are SURE below
+    the threshold; the shingle sets decide all others. Texts without words: no group. Null text: empty.
     """
     bound_batches(spark)
     sketch = materialize(spark, rows.select("node", "text").mapInArrow(_Sketch(shingle), "node long, sig binary, fp long, n long").where("n > 0"), "sketch")
@@ -234,7 +234,7 @@ def _sets(spark, rows, nodes, shingle) -> DataFrame:
 def _check(spark, rows, sketch, edges, shingle, similarity) -> DataFrame:
     """edges (a, b) with alike: whether the similarity is reached."""
     rated = materialize(spark, _beside(edges, sketch, "sig").mapInArrow(_estimate, "a long, b long, j double"), "rated")
-    clear = F.abs(F.col("j") - similarity) >= SURE
+    clear = F.col("j") <= similarity - SURE
     near = materialize(spark, rated.where(~clear).select("a", "b"), "near")
     ends = materialize(spark, near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "ends")
     exact = _beside(near, _sets(spark, rows, ends, shingle), "set").mapInArrow(_exact, "a long, b long, j double")
