@@ -177,6 +177,17 @@ def test_held_out_accuracy(spark):
     assert sum(r.found == r.lang for r in rows) >= 0.97 * len(rows) and not any(r.rejected for r in rows)
 
 
+def test_every_labelled_language_has_a_class(spark):
+    """One Greek row of 6,001, Russian in one row of 30,000 characters alone, and rows alike in key."""
+    greek = "η γάτα και ο σκύλος πήγαν στο σπίτι"
+    rows = [(str(k), f"the cat and dog number {k} went to the house", "en") for k in range(6000)] + [("g", greek, "EL"), ("r", "кошка и собака пошли домой " * 1200, "ru")]
+    rows += [(None, "der hund und die katze", "de")] * 50 + [("n", None, "xx"), ("e", "le chat", "")]
+    model = langid.fit_text_model(spark.createDataFrame(rows, "doc_id string, text string, lang string"))
+    assert model.languages == ["de", "el", "en", "ru"]
+    asked = spark.createDataFrame([("1", greek, "", ""), ("2", "собака и кошка", "", ""), ("3", "the dog", "", "")], "id string, text string, host string, declared string")
+    assert {r.id: (r.text_lang, r.rejected) for r in langid.identify(spark, asked, model, ["id"]).collect()} == {"1": ("el", False), "2": ("ru", False), "3": ("en", False)}
+    assert langid._shares({"a": 1, "b": 5, "c": 10**9}, 20) == {"a": 1, "b": 5, "c": 14}
+
 
 def test_markup(spark):
     df = spark.createDataFrame([('<HTML class=x lang="FR-ca"><script>if (a<b) {}</script><p>Bon&eacute; jour<!-- no --></p>', "https://u:p@WWW.Ex.fr:80/x"), (None, None)], "html string, url string")

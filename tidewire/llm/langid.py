@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, chunks, materialize, utf8
+from .common import bound_batches, broadcast_if_small, chunks, materialize, utf8
 
 SAMPLE_ROWS = 2000
-"""Labelled rows that the text model is fitted on at most, those of the smallest hashes."""
+"""Labelled rows that the text model is fitted on at most, those of each language's smallest hashes."""
 SAMPLE_CHARS = 20_000
-"""Longer labelled rows aren't fitted on."""
+"""Of longer labelled rows a part of so many is fitted on."""
 BUCKETS_BITS = 16
 SMOOTH = 0.5
 STRENGTH = 8.0
@@ -61,13 +61,31 @@ class TextModel:
         return cls(languages or ["und"], np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
+def _shares(counts: dict[str, int], total: int) -> dict[str, int]:
+    """Rows to take of each language: as even as their counts allow, one at least."""
+    out = {}
+    for k, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = max(1, min(counts[lang], total // (len(counts) - k)))
+        total -= out[lang]
+    return out
+
+
 def fit_text_model(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> TextModel:
-    """Fit on at most SAMPLE_ROWS labelled rows of at most SAMPLE_CHARS characters, chosen by hash of the key over all rows."""
-    rows = labelled.select(F.lower(F.col(lang)).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    rows = rows.where("lang is not null and lang != '' and text is not null").where(F.char_length("text") <= SAMPLE_CHARS)
-    last = rows.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]  # hashes alone are sorted, not texts
-    chosen = [] if last is None else rows.where(F.col("h") <= last).limit(SAMPLE_ROWS).collect()
-    return TextModel.fit(sorted((r.lang, r.text) for r in chosen))
+    """Fit on labelled rows chosen by hash over all rows, as evenly of each language as there are rows: SAMPLE_ROWS at most,
+    or one of each language if there are more of these. Of a row of over SAMPLE_CHARS characters, one part of so many."""
+    rows = labelled.select(F.lower(F.col(lang)).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"))
+    rows = rows.where("lang is not null and lang != '' and text is not null")
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()  # as many rows as languages
+    share = _shares({r.lang: r.n for r in found}, SAMPLE_ROWS)
+    # Hashes are even, so those below a language's share of their range are about so many; six deviations more, to have them all.
+    last = {r.lang: min((1 << 63) - 1, max(r.least, int((share[r.lang] + 6 * share[r.lang] ** 0.5 + 6) / r.n * (1 << 64)) - (1 << 63))) for r in found}
+    bounds = broadcast_if_small(labelled.sparkSession.createDataFrame(list(last.items()), "lang string, last long"), len(last), 32)
+    part = F.pmod("h", F.greatest(F.ceil(F.char_length("text") / SAMPLE_CHARS), F.lit(1))) * SAMPLE_CHARS + 1
+    chosen = rows.join(bounds, "lang").where(F.col("h") <= F.col("last")).select("lang", "h", F.substring(F.col("text"), part.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
+    by: dict[str, list] = {}
+    for r in sorted(chosen.dropDuplicates(["lang", "h"]).collect()):
+        by.setdefault(r.lang, []).append(r.text)
+    return TextModel.fit(sorted((x, t) for x, texts in by.items() for t in texts[: share[x]]))
 
 
 class _Likelihoods:
