@@ -24,7 +24,7 @@ BASE = (
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 """Labels of the field. The last two have no base pattern."""
 MOST_TOKENS = 24
-"""Tokens of the longest segment that is scored as an entity."""
+"""Tokens of the longest segment that is scored as an entity; a spelt-out address may be longer."""
 MOST_CHARS = 80
 """Characters of it."""
 CONTEXT = 3
@@ -83,6 +83,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # -- the field ---------------------------------------------------------------
 
 _TRIGGER = re.compile(r"[0-9]|\[at\]|\(at\)|\bat\b(?=[^\n]{1,60}\bdot\b)")
+_NEAR = re.compile(r"[0-9]+|\[(?:at|dot)\]|\((?:at|dot)\)|\bat\b(?=[^\n]{1,60}\bdot\b)|\bdot\b")
+"""Runs of triggers, and the dots of addresses: what a region reaches around."""
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|[^\s]")
 #: What whole spans look like.
 _SHAPES = (
@@ -93,8 +95,11 @@ _SHAPES = (
     ("spelt", r"[A-Za-z0-9._+-]+ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z]{2,})+"),
     ("date", r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}"),
     ("number", r"[0-9]+(?:[.,][0-9]+)*"),
+    ("bracketed", r"[A-Za-z0-9._+-]+ ?(?:\[at\]|\(at\)) ?[^\n]+"),
 )
 _SHAPE = [re.compile(p) for _, p in _SHAPES]
+_SPELT = re.compile(r"[A-Za-z0-9._+-]+ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]+(?:(?: ?(?:\[dot\]|\(dot\)) ?| dot |\.)[A-Za-z]{2,})+")
+"""A whole spelt-out address; a full stop with a blank ends it."""
 _CUES = (
     ("call", re.compile(r"\b(?:call|phone|tel|telephone|mobile|fax|ring|reach|whatsapp|text)\b[^\n]{0,12}$", re.I)),
     ("social", re.compile(r"\b(?:ssn|social security)\b[^\n]{0,14}$", re.I)),
@@ -124,20 +129,22 @@ def _features(text: str, i: int, j: int) -> np.ndarray:
 
 
 def _regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of text around triggers, with some words of context; those that touch are one."""
+    """Stretches of text around triggers, with some words of context around each; those that touch are one."""
     out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        if out and m.start() < out[-1][1]:
-            continue
+    for m in _NEAR.finditer(text):
         i, j = m.start(), m.end()
         for _ in range(CONTEXT):
-            k = max(text.rfind(" ", 0, max(0, i - 1)), text.rfind("\n", 0, max(0, i - 1)))
-            i = k + 1 if i - k < 40 else i
-        for _ in range(CONTEXT):
-            k = min([x for x in (text.find(" ", j + 1, j + 40), text.find("\n", j + 1, j + 40)) if x >= 0], default=-1)
-            j = k if k >= 0 else j
+            k = min([x for x in (text.find(" ", j + 1, j + MOST_CHARS), text.find("\n", j + 1, j + MOST_CHARS)) if x >= 0], default=-1)
+            j = k if k >= 0 else len(text) if len(text) <= j + MOST_CHARS else j
         while j < len(text) and text[j].isalnum():
             j += 1
+        if out and i <= out[-1][1]:  # its context before begins no earlier than the first trigger's
+            out[-1][1] = max(out[-1][1], j)
+            continue
+        for _ in range(CONTEXT):
+            low = max(0, i - MOST_CHARS - 1)
+            k = max(text.rfind(" ", low, max(0, i - 1)), text.rfind("\n", low, max(0, i - 1)))
+            i = k + 1 if k >= 0 and i - k < MOST_CHARS else 0 if i < MOST_CHARS and k < 0 else i
         if out and i <= out[-1][1]:
             out[-1][1] = max(out[-1][1], j)
         else:
@@ -160,15 +167,23 @@ class SemiMarkov:
         if cut[-1] != j:
             cut.append(j)
         segs, feats = [], []
+        at = {p: b for b, p in enumerate(cut)} if "dot" in text[i:j] else {}
         for a in range(len(cut) - 1):
             if text[cut[a]].isspace():
                 continue
+            inside = cut[a] > 0 and _LOCAL.match(text[cut[a] - 1])
+            m = at and not inside and _SPELT.match(text, cut[a], j)
+            if m and m.end() in at:  # the whole of an address, however long
+                segs.append((a, at[m.end()]))
+                feats.append(_features(text, cut[a], m.end()))
             for b in range(a + 1, min(a + MOST_TOKENS, len(cut) - 1) + 1):
                 if cut[b] - cut[a] > MOST_CHARS:
                     break
                 s = text[cut[a] : cut[b]]
                 if s[-1].isspace() or s[-1] == "\n" or not (_DIGITS.search(s) or " dot " in s or "dot]" in s or "dot)" in s):
                     continue
+                if at and _SHAPE[4].fullmatch(s):
+                    continue
                 if any(p.fullmatch(s) for p in _SHAPE[:6]) or _TRIGGER.fullmatch(s):
                     segs.append((a, b))
                     feats.append(_features(text, cut[a], cut[b]))
@@ -282,9 +297,20 @@ def examples(n: int = TRAINED_ON, seed: int = 5) -> list[tuple[str, list[tuple[s
     return out
 
 
+def bare(n: int = 24, seed: int = 6) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Labelled sentences of addresses in brackets without a word that announces them."""
+    r, out = random.Random(seed), []
+    word = lambda: "".join(r.choice(("ta", "re", "lo", "min", "ser", "and", "vo")) for _ in range(r.randint(1, 4)))
+    for _ in range(n):
+        at, dot = r.choice((("[at]", "[dot]"), ("(at)", "(dot)")))
+        lead, s = r.choice(("", f"{word()} ", f"{r.randint(1, 99)} ")), f"{word()}{r.choice(('', r.randint(0, 99)))} {at} {word()} {dot} com"
+        out.append((f"{lead}{s}{r.choice(('', f' {word()}'))}", [("email", len(lead), len(lead) + len(s))]))
+    return out
+
+
 @lru_cache(1)
 def trained() -> np.ndarray:
-    return SemiMarkov().fit(examples()).w
+    return SemiMarkov().fit(examples() + bare()).w
 
 
 def find(text: str, field: SemiMarkov) -> tuple[list, list]:
