@@ -1,7 +1,9 @@
 """Decontamination, personal data, secrets and language identification against brute force."""
 
+import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -10,7 +12,7 @@ from cases import ROWS, by_row, docs, none
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewire.llm import decontam, langid, pii, secret_scan
+from tidewire.llm import decontam, langid, pii, queries, secret_scan
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -105,6 +107,89 @@ def test_held_out_recall_by_kind():
     assert hit["email"] >= 0.98 * n["email"] and hit["ssn"] >= 0.98 * n["ssn"] and hit["iban"] >= 0.9 * n["iban"]
 
 
+def readings(n, segs, scores):
+    """Every reading of n tokens: its score, and the segments and labels in it."""
+
+    def walk(p, total, used):
+        if p == n:
+            yield total, used
+            return
+        yield from walk(p + 1, total, used)
+        for k, (a, b) in enumerate(segs):
+            if a == p:
+                for y in range(len(pii.KINDS)):
+                    yield from walk(b, total + scores[k, y], [*used, (k, y)])
+
+    return walk(0, 0.0, [])
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_best_reading(seed):
+    r = np.random.default_rng(seed)
+    n = int(r.integers(1, 7))
+    segs = sorted({(int(a), int(r.integers(a + 1, n + 1))) for a in r.integers(0, n, 5)})
+    scores = r.normal(size=(len(segs), len(pii.KINDS)))
+    want = max(readings(n, segs, scores), key=lambda x: x[0])
+    assert pii.SemiMarkov().best(n, segs, scores) == want[1]
+
+
+def spans_brute(text, field):
+    """All spans: base patterns as written, and the field over the whole text, any segment of up to 60 characters a candidate
+    (spelt-out addresses of any length), readings of what overlaps enumerated."""
+    base = [(k, m.start(), m.end()) for k, p in pii.BASE for m in re.finditer(p, text) if pii._passes(k, m[0])]
+    cut = sorted({0, len(text), *(m.end() for m in pii._TOKEN.finditer(text))})
+    at, segs = {p: k for k, p in enumerate(cut)}, set()
+    for a, i in enumerate(cut[:-1]):
+        if not text[i].isspace():
+            m = pii._SPELT.match(text, i) if not (i and pii._LOCAL.match(text[i - 1])) else None
+            segs |= {(i, m.end())} if m and m.end() in at else set()
+            for j in (x for x in cut[a + 1 : a + 61] if x - i <= 60):
+                segs |= {(i, j)} if any(p.fullmatch(text[i:j]) for p in pii._BOUNDED) else set()
+    groups, added = [], []
+    for s in sorted(segs):
+        if groups and s[0] < max(j for _, j in groups[-1]):
+            groups[-1].append(s)
+        else:
+            groups.append([s])
+    for g in groups:
+        first, last = at[g[0][0]], max(at[j] for _, j in g)
+        scores = np.array([pii._features(text, i, j) for i, j in g]) @ field.w.T
+        every = list(readings(last - first, [(at[i] - first, at[j] - first) for i, j in g], scores))
+        whole = np.logaddexp.reduce([x for x, _ in every])
+        for k, y in max(every, key=lambda x: x[0])[1]:
+            if np.exp(np.logaddexp.reduce([x for x, used in every if (k, y) in used]) - whole) >= pii.MARGIN:
+                added.append((pii.KINDS[y], *g[k]))
+    both = base + [s for s in added if not any(s[1] < j and i < s[2] for _, i, j in base)]
+    return base, sorted(both, key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2]))
+
+
+def test_query_of_personal_data(spark):
+    field = pii.SemiMarkov(pii.trained())
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    shown = lambda spans: ",".join(f"{k}:{i}:{j}" for k, i, j in spans)
+    want = {}
+    for r in rows:
+        base, spans = spans_brute(r.text or "", field)
+        want[r.doc_id] = (*(sum(k == x[0] for x in base) for k in ("email", "ip", "card", "phone")), hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans))
+    got = queries.op6_personal_data(spark, "/root/testdata/sf0.001")
+    assert {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, r.spans) for r in got.collect()} == want
+    for text, _ in pii.examples(60, seed=79) + pii.bare(10, seed=80):
+        assert pii.find(text, field) == spans_brute(text, field)
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "x " + "1" * 5000 + ".1.1.1 y", "1." * 100_000, "1a" * 100_000, "+1 " * 50_000, "+1" + " " * 500_000, "a@" * 100_000, "x at y dot com " * 5000])
+def test_hostile_texts_take_time_in_proportion(text):
+    field = pii.SemiMarkov(pii.trained())
+    began = time.process_time()
+    pii.find(text, field)
+    assert time.process_time() - began < 20
+
+
+def test_parts_of_addresses():
+    for text, want in {"1.2.3.4.5.6.7.8.9": [(0, 7), (8, 15)], "0000255.1.1.01 256.1.1.1": [(0, 14)], "1.2.3 1..2.3.4 9.9.9.9.": [(15, 22)]}.items():
+        assert [s[1:] for s in pii.base_spans(text) if s[0] == "ip"] == want
+
+
 def test_marginals_sum_over_all_readings():
     field = pii.SemiMarkov(np.random.default_rng(1).normal(size=(len(pii.KINDS), pii.N_FEATURES)))
     segs, scores = [(0, 2), (1, 3), (2, 4)], np.random.default_rng(2).normal(size=(3, len(pii.KINDS)))

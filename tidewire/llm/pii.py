@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,18 +24,20 @@ BASE = (
 )
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 """Labels of the field. The last two have no base pattern."""
-MOST_TOKENS = 24
-"""Tokens of the longest segment that is scored as an entity; a spelt-out address may be longer."""
-MOST_CHARS = 80
-"""Characters of it."""
+MOST_CHARS = 43
+"""Characters of the longest segment that any shape but that of spelt-out addresses describes (a bank account number with
+its blanks); addresses are taken whole, so no candidate is lost by it."""
 CONTEXT = 3
 """Words around a trigger that belong to its region."""
+REACH = 80
+"""Characters looked through for a context word's end; local parts and labels of addresses have 64 and 63 at most."""
 TRAINED_ON = 240
 """Made-up sentences that the field is fitted on."""
 MARGIN = 0.75
 """An added span's share of the probability of all readings of its region, at least."""
 
 _PATTERN = {k: re.compile(p) for k, p in BASE}
+_RUN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGITS = re.compile("[0-9]")
@@ -50,7 +53,8 @@ def luhn(digits: str) -> bool:
 
 def _passes(kind: str, s: str) -> bool:
     if kind == "ip":
-        return all(int(x) <= 255 for x in s.split("."))
+        parts = [x.lstrip("0") for x in s.split(".")]
+        return all(len(x) <= 3 and int(x or "0") <= 255 for x in parts)
     if kind == "card":
         d = s.replace(" ", "").replace("-", "")
         return 13 <= len(d) <= 19 and luhn(d)
@@ -59,8 +63,24 @@ def _passes(kind: str, s: str) -> bool:
     return True
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the ip pattern: every four parts of each run of digits and dots, which is read once."""
+    at = 0
+    while m := _RUN.search(text, at):
+        at = m.end()
+        if text.count(".", m.start(), at) < 3:
+            continue
+        i = m.start()
+        parts = m[0].split(".")
+        for k in range(0, len(parts) - 3, 4):
+            j = i + sum(map(len, parts[k : k + 4])) + 3
+            yield i, j
+            i = j + 1
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points, by kind and then start."""
+    """(kind, start, end) in code points, by kind and then start. Every pattern reads each character a bounded number of
+    times, however long a run of digits or blanks is."""
     out = []
     if "@" in text:
         at = text.find("@")
@@ -73,8 +93,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
                 out.append(("email", i, m.end()))
                 free = m.end()
             at = text.find("@", at + 1)
-    for kind in ("ip", "card"):
-        out += [(kind, m.start(), m.end()) for m in _PATTERN[kind].finditer(text) if _passes(kind, m[0])]
+    out += [("ip", i, j) for i, j in _addresses(text) if _passes("ip", text[i:j])]
+    out += [("card", m.start(), m.end()) for m in _PATTERN["card"].finditer(text) if _passes("card", m[0])]
     if "+" in text:
         out += [("phone", m.start(), m.end()) for m in _PATTERN["phone"].finditer(text) if _passes("phone", m[0])]
     return out
@@ -82,9 +102,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # -- the field ---------------------------------------------------------------
 
-_TRIGGER = re.compile(r"[0-9]|\[at\]|\(at\)|\bat\b(?=[^\n]{1,60}\bdot\b)")
-_NEAR = re.compile(r"[0-9]+|\[(?:at|dot)\]|\((?:at|dot)\)|\bat\b(?=[^\n]{1,60}\bdot\b)|\bdot\b")
-"""Runs of triggers, and the dots of addresses: what a region reaches around."""
+_NEAR = re.compile(r"[0-9]+|\[(?:at|dot)\]|\((?:at|dot)\)|\bat\b(?=[^\n]{1,65}\bdot\b)|\bdot\b")
+"""Runs of triggers, and the dots of addresses: what a region reaches around. A label of 63 characters and two blanks stand
+between at and dot at most."""
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|[^\s]")
 #: What whole spans look like.
 _SHAPES = (
@@ -98,6 +118,9 @@ _SHAPES = (
     ("bracketed", r"[A-Za-z0-9._+-]+ ?(?:\[at\]|\(at\)) ?[^\n]+"),
 )
 _SHAPE = [re.compile(p) for _, p in _SHAPES]
+_BOUNDED = [p for (name, _), p in zip(_SHAPES, _SHAPE, strict=True) if name in ("groups", "national", "three_two_four", "account", "date")]
+_START = re.compile(r"[(0-9]|[A-Z]{2}[0-9]")
+"""How segments of the bounded shapes begin."""
 _SPELT = re.compile(r"[A-Za-z0-9._+-]+ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]+(?:(?: ?(?:\[dot\]|\(dot\)) ?| dot |\.)[A-Za-z]{2,})+")
 """A whole spelt-out address; a full stop with a blank ends it."""
 _CUES = (
@@ -134,17 +157,19 @@ def _regions(text: str) -> list[tuple[int, int]]:
     for m in _NEAR.finditer(text):
         i, j = m.start(), m.end()
         for _ in range(CONTEXT):
-            k = min([x for x in (text.find(" ", j + 1, j + MOST_CHARS), text.find("\n", j + 1, j + MOST_CHARS)) if x >= 0], default=-1)
-            j = k if k >= 0 else len(text) if len(text) <= j + MOST_CHARS else j
+            k = min([x for x in (text.find(" ", j + 1, j + REACH), text.find("\n", j + 1, j + REACH)) if x >= 0], default=-1)
+            j = k if k >= 0 else len(text) if len(text) <= j + REACH else j
+        if out and j < out[-1][1]:
+            j = out[-1][1]  # which is no letter's or digit's place
         while j < len(text) and text[j].isalnum():
             j += 1
         if out and i <= out[-1][1]:  # its context before begins no earlier than the first trigger's
             out[-1][1] = max(out[-1][1], j)
             continue
         for _ in range(CONTEXT):
-            low = max(0, i - MOST_CHARS - 1)
+            low = max(0, i - REACH - 1)
             k = max(text.rfind(" ", low, max(0, i - 1)), text.rfind("\n", low, max(0, i - 1)))
-            i = k + 1 if k >= 0 and i - k < MOST_CHARS else 0 if i < MOST_CHARS and k < 0 else i
+            i = k + 1 if k >= 0 and i - k < REACH else 0 if i < REACH and k < 0 else i
         if out and i <= out[-1][1]:
             out[-1][1] = max(out[-1][1], j)
         else:
@@ -153,7 +178,7 @@ def _regions(text: str) -> list[tuple[int, int]]:
 
 
 class SemiMarkov:
-    """Labels segments of a region: an entity of at most MOST_TOKENS tokens, or one token outside.
+    """Labels segments of a region: an entity, or one token outside.
 
     A reading's score is the sum of weights of its entities' whole-span features by label. Only segments that some shape
     describes are candidates; all others weigh nothing. Forward and backward sums over all readings give probabilities.
@@ -167,26 +192,22 @@ class SemiMarkov:
         if cut[-1] != j:
             cut.append(j)
         segs, feats = [], []
-        at = {p: b for b, p in enumerate(cut)} if "dot" in text[i:j] else {}
+        spelt = any(x in text[i:j] for x in (" at ", "[at]", "(at)"))
+        at = {p: b for b, p in enumerate(cut)} if spelt else {}
         for a in range(len(cut) - 1):
-            if text[cut[a]].isspace():
-                continue
-            inside = cut[a] > 0 and _LOCAL.match(text[cut[a] - 1])
-            m = at and not inside and _SPELT.match(text, cut[a], j)
+            start = cut[a]
+            inside = start > 0 and _LOCAL.match(text[start - 1])
+            m = at and not inside and _SPELT.match(text, start, j)
             if m and m.end() in at:  # the whole of an address, however long
                 segs.append((a, at[m.end()]))
-                feats.append(_features(text, cut[a], m.end()))
-            for b in range(a + 1, min(a + MOST_TOKENS, len(cut) - 1) + 1):
-                if cut[b] - cut[a] > MOST_CHARS:
+                feats.append(_features(text, start, m.end()))
+            shapes = _START.match(text, start, j) and [p for p in _BOUNDED if p.match(text, start, j)]
+            for b in range(a + 1, len(cut)) if shapes else ():
+                if cut[b] - start > MOST_CHARS:
                     break
-                s = text[cut[a] : cut[b]]
-                if s[-1].isspace() or s[-1] == "\n" or not (_DIGITS.search(s) or " dot " in s or "dot]" in s or "dot)" in s):
-                    continue
-                if at and _SHAPE[4].fullmatch(s):
-                    continue
-                if any(p.fullmatch(s) for p in _SHAPE[:6]) or _TRIGGER.fullmatch(s):
+                if any(p.fullmatch(text, start, cut[b]) for p in shapes):
                     segs.append((a, b))
-                    feats.append(_features(text, cut[a], cut[b]))
+                    feats.append(_features(text, start, cut[b]))
         return cut, segs, np.array(feats).reshape(-1, N_FEATURES)
 
     def marginals(self, n: int, segs: list[tuple[int, int]], scores: np.ndarray) -> np.ndarray:
@@ -316,10 +337,18 @@ def trained() -> np.ndarray:
 def find(text: str, field: SemiMarkov) -> tuple[list, list]:
     """Base spans, and all spans by kind and start: the field's are added where they touch no base span or one another."""
     base = base_spans(text)
-    taken = sorted((i, j) for _, i, j in base)
+    ends: list[int] = []
+    begins: list[int] = []
+    for i, j in sorted((i, j) for _, i, j in base):  # stretches that base spans cover
+        if ends and i < ends[-1]:
+            ends[-1] = max(ends[-1], j)
+        else:
+            begins.append(i)
+            ends.append(j)
     added = []
     for kind, i, j in field.spans(text):
-        if not any(i < b and a < j for a, b in taken):
+        k = bisect_right(ends, i)
+        if k == len(begins) or begins[k] >= j:
             added.append((kind, i, j))
     order = {k: n for n, k in enumerate(KINDS)}
     return base, sorted([*base, *added], key=lambda s: (order[s[0]], s[1], s[2]))
@@ -342,7 +371,7 @@ def find_personal_data(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_
     """One row per row of docs: doc_id, base and spans, arrays of (kind, start, end) in code points, ends exclusive.
 
     base has the patterns' matches, spans also what the field adds. Every text is read whole, in one stage without a
-    shuffle; the field looks at stretches around digits and spelt-out addresses, each in time linear in its length.
+    shuffle, in time in proportion to its length; the field looks at stretches around digits and spelt-out addresses.
 
     Null or empty text: no spans. Null doc_id and repeated rows: kept. Of spans that overlap, base ones all stay and added
     ones are left out. Empty table: no rows. Other columns are ignored.
