@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +26,36 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tidewire-{uuid.uuid4().hex}/{name}"
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back, which ends its lineage."""
+def stored(spark: SparkSession, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """df written to the shared folder and read back: lineage ends there, and losing an executor loses nothing."""
     path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (written := _written.get()) is not None:
+        written.append(path)
+    df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Tables that stored() writes inside are deleted at the end, but for those given to the function that it yields; these
+    go at the end of the scratch around it, if there is one. What a result that isn't computed yet reads must be given."""
+    outer, mine, kept = _written.get(), [], set()
+    token = _written.set(mine)
+    try:
+        yield lambda *dfs: kept.update(df._folder for df in dfs)
+    finally:
+        _written.reset(token)
+        for path in mine:
+            if path not in kept:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            elif outer is not None:
+                outer.append(path)
 
 
 SPREAD_BYTES = 256 << 20
