@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import new_folder
+from ..storage import new_folder, scratch, stored  # noqa: F401
 
 BATCH_BYTES = 16 << 20
 """Bytes of an Arrow batch of texts; Spark's own limit is four times as much, of which JVM and Python hold several copies."""
@@ -25,9 +25,7 @@ BROADCAST_LIMIT = 8 << 20
 
 def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and losing an executor loses nothing."""
-    path = new_folder(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(spark, df, label, "zstd")
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -77,34 +75,35 @@ def chunks(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def connected_components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b), both long; root is the smallest node of its component.
 
-    Alternates large-star and small-star steps until nothing changes. Minima are pre-aggregated and written, so that
-    the joins on a node with very many edges are plain shuffled joins whose hot partitions Spark splits.
+    Alternates large-star and small-star steps until nothing changes, which takes rounds in the logarithm of the longest
+    chain. Minima are pre-aggregated and written, so that the joins on a node with very many edges are plain shuffled joins
+    whose hot partitions Spark splits. Only the last round's table stays.
     """
-    now = materialize(
-        spark,
-        edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-        "edges",
-    )
-    mark = _mark(now)
-    for _ in range(rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(spark, both.groupBy("u").agg(F.min("v").alias("m")), "least")
-        large = materialize(
+    with scratch(spark) as last:
+        now = materialize(
             spark,
-            both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(),
-            "large",
+            edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
+            "edges",
         )
-        low = materialize(spark, large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(spark, small.union(low).distinct(), "small")
-        was, mark = mark, _mark(now)
-        if mark == was:
-            break
-    else:
-        raise RuntimeError("components did not settle")
+        was, mark = None, _mark(now)
+        while mark != was:
+            with scratch(spark) as keep:
+                both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+                least = materialize(spark, both.groupBy("u").agg(F.min("v").alias("m")), "least")
+                large = materialize(
+                    spark,
+                    both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(),
+                    "large",
+                )
+                low = materialize(spark, large.groupBy("u").agg(F.min("v").alias("m")), "low")
+                small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+                now = materialize(spark, small.union(low).distinct(), "small")
+                was, mark = mark, _mark(now)
+                keep(now)
+        last(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small, materialize
+from .common import ascii_lower, broadcast_if_small, materialize, scratch
 
 PREFIX_CHARS = 256
 """Characters hashed at the second level."""
+BLOCK = 10_000
+"""Copies of one row that are made at a time, as an array."""
 
 
 def exact_duplicates(
@@ -27,24 +29,27 @@ def exact_duplicates(
     """
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = body.select("doc_id", "text", F.octet_length("text").alias("n"), F.xxhash64(ascii_lower(F.substring("text", 1, PREFIX_CHARS))).alias("p"))
-    counted = materialize(spark, keyed.groupBy("n", "p").agg(F.count("*").alias("c")), "prefixes")
-    lengths = counted.groupBy("n").agg(F.sum("c").alias("of_length")).where("of_length > 1").select("n")
-    again = materialize(spark, counted.where("c > 1").join(lengths, "n", "left_semi").select("n", "p", F.lit(True).alias("again")), "again")
-    again = broadcast_if_small(again, again.count(), 32)
-
-    whole = F.sha2(ascii_lower(F.col("text")), 256)
-    read = keyed.join(again, ["n", "p"], "left").select(
-        "doc_id", "n", "p", F.when(F.col("again"), whole).alias("h"), *([whole.alias("text_sha256")] if digest else [])
-    )
-    rows = materialize(spark, read, "rows")
-    more = ["text_sha256"] if digest else []
-    alone = rows.where("h is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *more)
-
-    members = materialize(spark, rows.where("h is not null").groupBy("n", "p", "h", "doc_id", *more).agg(F.count("*").alias("c")), "members")
-    groups = materialize(spark, members.groupBy("n", "p", "h").agg(F.max("doc_id").alias("keep_id"), F.sum("c").alias("group_size")), "groups")
+    with scratch(spark) as keep:
+        counted = materialize(spark, keyed.groupBy("n", "p").agg(F.count("*").alias("c")), "prefixes")
+        lengths = counted.groupBy("n").agg(F.sum("c").alias("of_length")).where("of_length > 1").select("n")
+        again = materialize(spark, counted.where("c > 1").join(lengths, "n", "left_semi").select("n", "p", F.lit(True).alias("again")), "again")
+        again = broadcast_if_small(again, again.count(), 32)
+
+        whole = F.sha2(ascii_lower(F.col("text")), 256)
+        read = keyed.join(again, ["n", "p"], "left").select(
+            "doc_id", "n", "p", F.when(F.col("again"), whole).alias("h"), *([whole.alias("text_sha256")] if digest else [])
+        )
+        rows = materialize(spark, read, "rows")
+        more = ["text_sha256"] if digest else []
+        alone = rows.where("h is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *more)
+
+        members = materialize(spark, rows.where("h is not null").groupBy("n", "p", "h", "doc_id", *more).agg(F.count("*").alias("c")), "members")
+        groups = materialize(spark, members.groupBy("n", "p", "h").agg(F.max("doc_id").alias("keep_id"), F.sum("c").alias("group_size")), "groups")
+        keep(rows, members, groups)
     grouped = (
         members.join(groups, ["n", "p", "h"])
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))))
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("c") - 1).cast("long"), F.lit(BLOCK).cast("long"))))
+        .withColumn("copy", F.explode(F.sequence(F.col("block") + 1, F.least(F.col("block") + BLOCK, F.col("c")))))
         .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), *more)
     )
     return alone.unionByName(grouped)

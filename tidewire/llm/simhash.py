@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, connected_components, materialize, utf8
+from .common import bound_batches, connected_components, materialize, scratch, utf8
 
 BITS = 64
 RADIUS = 3
@@ -193,11 +193,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id"
     Repeated rows: each is returned. Empty table: no rows. Other columns are ignored.
     """
     bound_batches(spark)
-    rows = materialize(spark, fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    fps = materialize(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = connected_components(spark, links(spark, fps))
-    many = materialize(spark, fps.join(roots, fps.fp == roots.node).select("fp", "first", "root"), "roots")
-    least = materialize(spark, many.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    own = many.join(least, "root").select("fp", "component_id")
-    of = materialize(spark, fps.join(own, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "components")
+    with scratch(spark) as keep:
+        rows = materialize(spark, fingerprints(docs, doc_id, text, shingle), "fingerprints")
+        fps = materialize(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+        roots = connected_components(spark, links(spark, fps))
+        many = materialize(spark, fps.join(roots, fps.fp == roots.node).select("fp", "first", "root"), "roots")
+        least = materialize(spark, many.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+        own = many.join(least, "root").select("fp", "component_id")
+        of = materialize(spark, fps.join(own, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "components")
+        keep(rows, of)
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")

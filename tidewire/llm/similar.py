@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import bound_batches, broadcast_if_small, chunks, connected_components, materialize, utf8
+from .common import bound_batches, broadcast_if_small, chunks, connected_components, materialize, scratch, utf8
 from .suffix import _mix, _sums
 
 BANDS, ROWS = 24, 6
@@ -173,31 +173,35 @@ def similar_groups(spark: SparkSession, rows: DataFrame, shingle: int = 5, simil
     the threshold; the shingle sets decide all others. Texts without words: no group. Null text: empty.
     """
     bound_batches(spark)
-    sketch = materialize(spark, rows.select("node", "text").mapInArrow(_Sketch(shingle), "node long, sig binary, fp long, n long").where("n > 0"), "sketch")
-    bands = materialize(spark, sketch.select("node", "sig").mapInArrow(_bands, "key long, node long, band int").select("key", "node"), "bands")
-    fps = materialize(spark, sketch.groupBy("fp").agg(F.min("node").alias("node")), "fps")
-    by = fps.select(F.col("fp"), F.col("node").alias("n2"))
-    ball = simhash.links(spark, fps).join(by.withColumnRenamed("fp", "a").withColumnRenamed("n2", "x"), "a").join(by.withColumnRenamed("fp", "b").withColumnRenamed("n2", "y"), "b")
-    same = sketch.select("node", "fp").join(fps.select("fp", F.col("node").alias("x")), "fp").where("node != x")
-    edges = ball.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(same.select(F.col("x").alias("a"), F.col("node").alias("b")))
-    sizes = materialize(spark, bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
-    few = bands.join(sizes.where(F.col("c") <= SMALL).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
-    beside = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    large = materialize(spark, bands.join(sizes.where(F.col("c") > SMALL), "key"), "large")
-    often = materialize(spark, large.groupBy("node").agg(F.sum("c").alias("often")), "often")
-    center = large.join(often, "node").groupBy("key").agg(F.max_by("node", F.struct("often", -F.col("node"))).alias("a"))
-    many = large.join(materialize(spark, center, "center"), "key").where("node != a").select(F.least("a", "node"), F.greatest("a", "node"))
-    edges = materialize(spark, edges.union(few.select(F.inline(beside))).union(many).distinct(), "edges")
-    checked = materialize(spark, _check(spark, rows, sketch, edges, shingle, similarity), "checked")
-    alike = checked.where("alike").select("a", "b")
-    groups = materialize(spark, connected_components(spark, alike), "groups")
-    more = _crowds(spark, rows, sketch, large.select("key", "node"), groups, shingle, similarity)
-    return groups if more is None else connected_components(spark, alike.union(more))
+    with scratch(spark) as keep:
+        sketch = materialize(spark, rows.select("node", "text").mapInArrow(_Sketch(shingle), "node long, sig binary, fp long, n long").where("n > 0"), "sketch")
+        bands = materialize(spark, sketch.select("node", "sig").mapInArrow(_bands, "key long, node long, band int").select("key", "node"), "bands")
+        fps = materialize(spark, sketch.groupBy("fp").agg(F.min("node").alias("node")), "fps")
+        by = fps.select(F.col("fp"), F.col("node").alias("n2"))
+        ball = simhash.links(spark, fps).join(by.withColumnRenamed("fp", "a").withColumnRenamed("n2", "x"), "a").join(by.withColumnRenamed("fp", "b").withColumnRenamed("n2", "y"), "b")
+        same = sketch.select("node", "fp").join(fps.select("fp", F.col("node").alias("x")), "fp").where("node != x")
+        edges = ball.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(same.select(F.col("x").alias("a"), F.col("node").alias("b")))
+        sizes = materialize(spark, bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
+        few = bands.join(sizes.where(F.col("c") <= SMALL).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
+        beside = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+        large = materialize(spark, bands.join(sizes.where(F.col("c") > SMALL), "key"), "large")
+        often = materialize(spark, large.groupBy("node").agg(F.sum("c").alias("often")), "often")
+        center = large.join(often, "node").groupBy("key").agg(F.max_by("node", F.struct("often", -F.col("node"))).alias("a"))
+        many = large.join(materialize(spark, center, "center"), "key").where("node != a").select(F.least("a", "node"), F.greatest("a", "node"))
+        edges = materialize(spark, edges.union(few.select(F.inline(beside))).union(many).distinct(), "edges")
+        checked = materialize(spark, _check(spark, rows, sketch, edges, shingle, similarity), "checked")
+        alike = checked.where("alike").select("a", "b")
+        groups = materialize(spark, connected_components(spark, alike), "groups")
+        more = _crowds(spark, rows, sketch, large.select("key", "node"), groups, shingle, similarity)
+        if more is not None:
+            groups = materialize(spark, connected_components(spark, alike.union(more)), "groups")
+        keep(groups)
+    return groups
 
 
 def _crowds(spark, rows, sketch, large, groups, shingle, similarity) -> DataFrame | None:
-    """Links (a, b) enough to join all alike members of each meeting (key, node) that groups leaves apart, None if all are
-    together.
+    """Links (a, b) enough to join all alike members of each meeting (key, node) that groups leaves apart, None if there are
+    none.
 
     Members of one group needn't be compared, so a group too large for a block has blocks of its own, which meet those of
     the others only; smaller ones share blocks. Every pair of blocks is one task of bounded size.
@@ -222,7 +226,8 @@ def _crowds(spark, rows, sketch, large, groups, shingle, similarity) -> DataFram
     nodes = materialize(spark, of.select("node").distinct(), "ends")
     dealt = of.select("key", "block", "node", "root").join(materialize(spark, sides, "sides"), ["key", "block"]).select("pair", "node", "root")
     full = dealt.join(_sets(spark, rows, nodes, shingle), "node").select("pair", "node", "root", "set")
-    return materialize(spark, full.groupBy("pair").applyInArrow(_joined(similarity), "a long, b long").distinct(), "more")
+    more = materialize(spark, full.groupBy("pair").applyInArrow(_joined(similarity), "a long, b long").distinct(), "more")
+    return None if more.isEmpty() else more
 
 
 def _sets(spark, rows, nodes, shingle) -> DataFrame:
