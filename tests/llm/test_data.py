@@ -30,17 +30,16 @@ def numbers(spark, lo, hi):
 
 def test_store_keeps_every_row(spark):
     store = sharding.ShardStore(spark, common.new_folder(spark, "store"), fan_in=3, floor_bytes=1 << 20)
-    assert store.read() == (0, [])
-    with pytest.raises(ValueError):
-        store.rows()
+    assert store.read() == (0, []) and store.rows().columns == ["_arrival", "_run"] and store.rows().count() == 0
     for k in range(7):
         store.append(numbers(spark, 10 * k, 10 * k + 10), k)
         store.compact()
     version, runs = store.read()
-    assert sorted(a for r in runs for a in r.arrivals) == list(range(7)) and sum(r.rows for r in runs) == 70
+    assert sharding.joined(a for r in runs for a in r.arrivals) == ((0, 6),) and sum(r.rows for r in runs) == 70
     assert len(runs) < 3
-    rows = store.rows().select("k", "_arrival").collect()
-    assert sorted((r.k, r._arrival) for r in rows) == [(k, k // 10) for k in range(70)]
+    assert store.rows().columns == ["k", "_run", "text", "_arrival", "__run"]  # the data's own _run stays
+    rows = store.rows().select("k", "_arrival", "_run").collect()
+    assert sorted((r.k, r._arrival) for r in rows) == [(k, k // 10) for k in range(70)] and {r._run for r in rows} == {"x"}
     old = store.rows(3).count()  # an earlier version is still whole
     assert old < 70 and store.vacuum() > 0 and store.rows().count() == 70 and store.versions() == [version]
 
@@ -54,6 +53,67 @@ def test_store_takes_many_arrivals_and_edge_cases(spark):
     assert Counter((r.doc_id, r.text) for r in got) == Counter(r[:2] for r in ROWS)
 
 
+def test_store_of_an_empty_table(spark):
+    store = sharding.ShardStore(spark, common.new_folder(spark, "store"))
+    assert store.append_many(none(spark).withColumn("lot", F.lit(1)), "lot") == [1] and store.compact() == 1
+    assert store.rows().columns == [*none(spark).columns, "_arrival", "_run"] and store.rows().count() == 0
+    assert store.vacuum() == 1 and store.rows().count() == 0
+
+
+def test_rows_without_an_arrival_and_clashing_names(spark):
+    store = sharding.ShardStore(spark, common.new_folder(spark, "store"), fan_in=2)
+    df = spark.createDataFrame([(None, "a", 7, "x"), (3, None, 8, "y"), (3, None, 8, "y"), (None, "", None, None)], "lot int, text string, _arrival int, _RUN string")
+    store.append_many(df, "lot")
+    store.append(df.drop("lot").withColumn("more", F.lit(1)), None)
+    store.compact()
+    out = store.rows()
+    assert out.columns == ["text", "_arrival", "_RUN", "more", "__arrival", "__run"]
+    n = sharding.NO_ARRIVAL
+    want = Counter([("a", 7, "x", None, n), (None, 8, "y", None, 3), (None, 8, "y", None, 3), ("", None, None, None, n)] + [("a", 7, "x", 1, n), (None, 8, "y", 1, n), (None, 8, "y", 1, n), ("", None, None, 1, n)])
+    assert Counter(tuple(r)[:5] for r in out.collect()) == want
+    with pytest.raises(ValueError):
+        store.append(spark.createDataFrame([("1",)], "more string"), 4)
+
+
+def test_vacuum_leaves_a_writer_alone(spark):
+    root = common.new_folder(spark, "store")
+    a, b = sharding.ShardStore(spark, root), sharding.ShardStore(spark, root)
+    a.append(numbers(spark, 0, 5), 0)
+    real, seen = a._commit, []
+
+    def late(change, columns=None):
+        seen.append(b.vacuum())  # a has written its files and not committed them
+        return real(change, columns)
+
+    a._commit = late
+    a.append(numbers(spark, 5, 10), 1)
+    assert seen == [0] and a.rows().count() == 10 and b.vacuum() == 0 and b.rows().count() == 10
+    a.lease_s = b.lease_s = 0.0
+    with pytest.raises(RuntimeError):
+        a.append(numbers(spark, 10, 15), 2)
+    assert b.rows().count() == 10
+
+
+def test_compactions_at_once_and_the_top_tier(spark):
+    root = common.new_folder(spark, "store")
+    a, b = (sharding.ShardStore(spark, root, fan_in=2) for _ in range(2))
+    for k in range(4):
+        a.append(numbers(spark, 10 * k, 10 * k + 10), k)
+    real, first = a._commit, []
+
+    def beaten(change, columns=None):
+        if not first:
+            first.append(b.compact())
+        return real(change, columns)
+
+    a._commit = beaten
+    a.compact()
+    assert a.rows().count() == 40 and sorted(r.k for r in a.rows().collect()) == list(range(40))
+    done = [sharding.Run(f"p{k}", a.target_bytes + k, 1, 1, ((k, k),)) for k in range(8)]
+    assert a.due(done) is None
+    assert sharding.ranges([5, 1, 2, 3, 9]) == ((1, 3), (5, 5), (9, 9))
+
+
 def test_two_writers(spark):
     root = common.new_folder(spark, "store")
     a, b = sharding.ShardStore(spark, root), sharding.ShardStore(spark, root)
@@ -76,7 +136,9 @@ def test_nobody_sees_a_torn_commit(spark):
     with pytest.raises(OSError):
         store.append(numbers(spark, 5, 10), 1)
     again = sharding.ShardStore(spark, store.root)
-    assert again.rows().count() == 5 and again.vacuum() == 1 and again.rows().count() == 5
+    assert again.rows().count() == 5 and again.vacuum() == 0 and again.rows().count() == 5
+    again.lease_s = 0.0  # the writer is given up
+    assert again.vacuum() == 1 and again.rows().count() == 5
 
 
 # -- chat --------------------------------------------------------------------
