@@ -186,6 +186,16 @@ def test_trees(spark):
         assert x.n_turns == len(turns) and x.loss == "".join(t for role, t in turns if role == "assistant")
 
 
+def test_a_long_conversation(spark):
+    """Thousands of turns, some long, some empty; and a cycle beside it, which costs no more rounds than its size."""
+    r = random.Random(3)
+    said = [(r.choice(("user", "assistant")), r.choice(("", "é😀", "<|im_end|>", "x" * r.randint(0, 400)))) for _ in range(3000)]
+    said[7] = ("assistant", "long " * 100_000)
+    rows = [("t", k, k - 1 if k else None, *t, 0.0) for k, t in enumerate(said)] + [("c", 1, 2, "user", "x", 1.0), ("c", 2, 1, "user", "y", 1.0)]
+    (x,) = chat.format_reply_trees(spark, spark.createDataFrame(rows, MESSAGE)).select(chat.read_back(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("loss_mask")).alias("loss")).collect()
+    assert [tuple(t) for t in x.turns] == said and x.loss == "".join(t for role, t in said if role == "assistant")
+
+
 def test_tree_edge_cases(spark):
     rows = [(None, 1, None, "user", "q", None), ("c", 1, 2, "user", "x", 1.0), ("c", 2, 1, "user", "y", 1.0), ("o", 5, 99, "assistant", "orphan", 0.0), ("r", 1, None, "user", "b", 0.0), ("r", 1, None, "user", "a", 0.0)]
     out = {x.tree: [t.text for t in x.turns] for x in chat.format_reply_trees(spark, spark.createDataFrame(rows, MESSAGE)).select("tree", chat.read_back(F.col("formatted")).alias("turns")).collect()}

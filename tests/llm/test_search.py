@@ -245,6 +245,15 @@ def test_ownership(spark):
     assert got[1].spans == "vendor:2:38" and (got[1].n_live, got[1].n_example) == (1, 0)
     assert got[3].spans == "" and got[3].n_example == 1  # many owners: a copied example
     assert got[8].spans == "assign:0:19" and got[8].n_weak == 1
+    copied = [(k, f"see {shared}", "en", "a") for k in range(5)]  # one owner's, in as many repositories as rows
+    assert {(r.spans, r.n_example) for r in secret_scan.scan_secrets(spark, docs(spark, copied)).collect()} == {("", 1)}
+    assert {(r.spans, r.n_live) for r in secret_scan.scan_secrets(spark, docs(spark, copied), repository="lang").collect()} == {("vendor:4:40", 1)}
+
+
+def test_many_secrets_in_a_text(spark):
+    text = "".join(f"é{k} token = {'x' * (k % 9)}1234 " + ("0af3" * 7 + " ") * (k % 3 == 0) for k in range(3000))
+    (r,) = secret_scan.scan_secrets(spark, docs(spark, [(1, text, "en", "a")])).collect()
+    assert r.base == secrets_brute(text)
 
 
 def test_secrets_edge_cases(spark):

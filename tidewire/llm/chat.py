@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import blocks, laid_out, materialize
 
 #: The template's control strings.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -55,9 +57,8 @@ def format_reply_trees(spark: SparkSession, messages: DataFrame, top: int = 1) -
     nodes = nodes.join(known, ["tree", "parent"], "left").withColumn("parent", F.when(F.col("there") == 1, F.col("parent")))
     jump = materialize(spark, nodes.select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("hops")), "jump")
     jumps = [jump]
-    while not jump.where("up is not null").isEmpty():
-        if len(jumps) > 40:
-            break  # only cycles are left
+    most = math.ceil(math.log2(jump.count() + 1))  # rounds that reach the root of the longest path
+    while len(jumps) <= most and not jump.where("up is not null").isEmpty():  # what is left then is cycles
         far = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("hops").alias("hops2"))
         further = jump.where("up is not null").join(far, ["tree", "up"]).select(
             "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("hops") + F.col("hops2")).alias("hops")
@@ -82,18 +83,17 @@ def format_reply_trees(spark: SparkSession, messages: DataFrame, top: int = 1) -
     )
     grouped = turns.groupBy("tree", "leaf", "branch").agg(F.first("path_score").alias("path_score"), F.array_sort(F.collect_list("turn")).alias("turns"))
     tail = CLOSE + "\n"
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("mask"))
+    width = lambda t: F.char_length(t["head"]) + F.char_length(t["body"]) + len(tail)
 
-    def add(acc, t):
-        begin = acc["at"] + F.char_length(t["head"])
-        end = begin + F.char_length(t["body"])
-        here = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct((end + len(tail)).alias("at"), F.when(t["role"] == LOSS_ROLE, F.concat(acc["mask"], here)).otherwise(acc["mask"]).alias("mask"))
+    def place(t, at):
+        begin = at + F.char_length(t["head"])
+        return F.struct(begin.alias("start"), (begin + F.char_length(t["body"])).alias("end"), (t["role"] == LOSS_ROLE).alias("loss"))
 
+    mask = F.filter(laid_out(F.col("turns"), width, place, "struct<start:int,end:int,loss:boolean>"), lambda x: x["loss"])
     return grouped.select(
         "tree", "leaf", "branch", "path_score", F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(tail))), "").alias("formatted"),
-        F.aggregate("turns", start, add)["mask"].alias("loss_mask"),
+        F.transform(mask, lambda x: F.struct(x["start"], x["end"])).alias("loss_mask"),
     )
 
 
@@ -105,5 +105,12 @@ def read_back(formatted: Column) -> Column:
 
 
 def masked_text(formatted: Column, loss_mask: Column) -> Column:
-    """The texts under the mask, unescaped, with nothing between them."""
-    return F.array_join(F.transform(loss_mask, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    """The texts under the mask, unescaped, with nothing between them. By blocks of spans, whose part of the conversation is
+    cut out first, as every cut counts characters from the beginning."""
+
+    def block(spans):
+        begin, end = F.get(spans, F.lit(0))["start"], F.element_at(spans, -1)["end"]
+        text = lambda part: F.array_join(F.transform(spans, lambda s: unescape(F.substr(part, s["start"] - begin + 1, s["end"] - s["start"]))), "")
+        return F.get(F.transform(F.array(F.substr(formatted, begin + 1, end - begin)), text), F.lit(0))
+
+    return F.array_join(F.transform(blocks(loss_mask), lambda spans: F.when(F.size(spans) > 0, block(spans)).otherwise("")), "")

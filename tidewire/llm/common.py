@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import new_folder, scratch, stored  # noqa: F401
@@ -53,6 +53,36 @@ def ascii_lower(col):
     return F.translate(F.coalesce(col, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+STEP = 256
+"""Entries of an array that are worked on together where each depends on those before it."""
+
+
+def blocks(entries: Column) -> Column:
+    """An array in arrays of STEP; of an empty one, an empty array."""
+    return F.transform(_block_starts(entries), lambda b: F.slice(entries, b + 1, STEP))
+
+
+def _block_starts(entries: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.size(entries) - 1, F.lit(0)), F.lit(STEP))
+
+
+def laid_out(parts: Column, width: Callable[[Column], Column], make: Callable[[Column, Column], Column], kind: str) -> Column:
+    """An array of make(part, start), each of a given type, of parts that lie end to end and are width(part) long. By blocks, as
+    every append copies an array."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, p: a + width(p))
+
+    def block(x, start):
+        zero = F.struct(start.alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
+        add = lambda a, p: F.struct((a["at"] + width(p)).alias("at"), F.concat(a["out"], F.array(make(p, a["at"]))).alias("out"))
+        return F.aggregate(x, zero, add)["out"]
+
+    def whole(known):
+        starts = F.aggregate(blocks(known), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + total(x))))
+        return F.flatten(F.zip_with(blocks(known), F.slice(starts, 1, F.size(_block_starts(known))), block))
+
+    return F.get(F.transform(F.array(parts), whole), F.lit(0))  # parts are made once
+
+
 def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column, and where each row's begin (one more than rows). Null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

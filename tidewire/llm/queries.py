@@ -153,33 +153,40 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secret_scan.scan_secrets(spark, _table(spark, sf_dir, "documents"))
+    """A source owns its documents; those in one language are a repository of it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.coalesce("lang", F.lit("")).alias("repository"))
+    out = secret_scan.scan_secrets(spark, docs, repository="repository")
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example", "n_weak")
 
 
+#: Patterns, the group of the secret and its least length, by kind. RE2 has no look-behind: what stands before a
+#: vendor token is a group of its own, and doesn't count.
+OP8_KINDS = (
+    (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("AKIA[A-Z0-9]+", 0, 20),
+    ("[0-9a-f]+", 0, 24),
+    (r"(^|[^A-Za-z0-9_-])(gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", 2, 1),
+)
+
+
 def _op8_sql() -> str:
-    quote = lambda x: "'" + x.replace("'", "''") + "'"
-    # RE2 has no look-behind: what stands before a vendor token is a group of its own, and doesn't count.
-    vendor = "(^|[^A-Za-z0-9_-])(" + secret_scan.VENDOR.partition("(?:")[2]
     found = []
-    for k, (_, pattern, group, least) in enumerate(secret_scan.KINDS):
-        p, lead = quote(pattern), "NULL"
-        if k >= secret_scan.BASE:
-            p, group = quote(vendor), 2
-            lead = f"regexp_extract_all(t, {p}, 1)"
+    for k, (pattern, group, least) in enumerate(OP8_KINDS):
+        p = "'" + pattern.replace("'", "''") + "'"
+        lead = f"regexp_extract_all(t, {p}, 1)" if k == 3 else "NULL"
         found.append(
-            f"SELECT doc_id, source, {k} AS k, {least} AS least, regexp_split_to_array(t, {p}) AS gaps, regexp_extract_all(t, {p}, 0) AS hits, {lead}::VARCHAR[] AS leads, "
+            f"SELECT doc_id, source, lang, {k} AS k, {least} AS least, regexp_split_to_array(t, {p}) AS gaps, regexp_extract_all(t, {p}, 0) AS hits, {lead}::VARCHAR[] AS leads, "
             f"regexp_extract_all(t, {p}, {group}) AS secrets FROM d WHERE regexp_matches(t, {p})"
         )
     shown = "string_agg(['assign', 'access', 'hex', 'vendor'][k + 1] || ':' || start || ':' || stop, ',' ORDER BY start, k)"
     return f"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
 a AS ({" UNION ALL ".join(found)}),
-m AS (SELECT doc_id, source, k, least, i, length(gaps[i]) AS gap, length(hits[i]) AS n, coalesce(length(leads[i]), 0) AS lead, secrets[i] AS secret FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM a)),
+m AS (SELECT doc_id, source, lang, k, least, i, length(gaps[i]) AS gap, length(hits[i]) AS n, coalesce(length(leads[i]), 0) AS lead, secrets[i] AS secret FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM a)),
 f AS (SELECT *, sum(gap + n) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop FROM m),
-s AS (SELECT doc_id, source, k, CAST(stop - n + lead AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, secret FROM f WHERE length(secret) >= least),
-o AS (SELECT secret, count(DISTINCT source) AS owners FROM s GROUP BY secret),
-v AS (SELECT s.*, CASE WHEN owners >= {secret_scan.SHARED_OWNERS} THEN 'example' WHEN length(secret) >= {secret_scan.LIVE_CHARS} AND regexp_matches(secret, '[A-Za-z]') AND regexp_matches(secret, '[0-9]') THEN 'live' ELSE 'weak' END AS verdict FROM s JOIN o USING (secret)),
+s AS (SELECT doc_id, source, lang, k, CAST(stop - n + lead AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, secret FROM f WHERE length(secret) >= least),
+o AS (SELECT secret, count(DISTINCT source) AS owners, count(DISTINCT (source, lang)) AS repositories FROM s GROUP BY secret),
+v AS (SELECT s.*, CASE WHEN owners >= 3 OR repositories >= 5 THEN 'example' WHEN length(secret) >= 12 AND regexp_matches(secret, '[A-Za-z]') AND regexp_matches(secret, '[0-9]') THEN 'live' ELSE 'weak' END AS verdict FROM s JOIN o USING (secret)),
 g AS (
   SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, {shown} FILTER (k < 3) AS base, {shown} FILTER (k < 3 OR verdict = 'live') AS spans,
     count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example, count(*) FILTER (verdict = 'weak') AS n_weak

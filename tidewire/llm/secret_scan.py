@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import laid_out, materialize
 
 #: The patterns of each kind, in the order of the output, with the group that holds the secret and the
 #: least length of it. Runs of access and hex are maximal, so their least lengths stand in the patterns.
@@ -22,10 +22,13 @@ BASE = 3
 
 SHARED_OWNERS = 3
 """A candidate that this many owners have is a copied example."""
+SHARED_REPOSITORIES = 5
+"""So is one that this many repositories have, of however few owners."""
 LIVE_CHARS = 12
 """A live-looking secret has this many characters at least, letters and digits among them."""
 
-_FOUND = "array<struct<start:int,end:int,k:int,secret:string>>"
+_SPAN = "struct<start:int,end:int,k:int,secret:string>"
+_FOUND = f"array<{_SPAN}>"
 
 
 def _find(text: Column, k: int) -> Column:
@@ -34,18 +37,17 @@ def _find(text: Column, k: int) -> Column:
     split() gives what lies between the matches and regexp_extract_all() the matches, so their lengths give the places.
     """
     _, pattern, group, least = KINDS[k]
-    p = F.lit(pattern)
-    between, hits, secrets = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_FOUND})").alias("out"))
+    between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    zipped = F.zip_with(hits, between, lambda hit, gap: F.struct(gap.alias("gap"), hit.alias("hit")))
+    width = lambda x: F.char_length(x["gap"]) + F.char_length(x["hit"])
 
-    def add(acc, x):
-        begin = acc["at"] + F.char_length(x["gap"])
-        end = begin + F.char_length(x["hit"])
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), F.lit(k).alias("k"), x["secret"].alias("secret")))
-        return F.struct(end.alias("at"), F.when(F.char_length(x["secret"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def span(x, at):
+        secret = F.regexp_extract(x["hit"], pattern, group) if group else x["hit"]
+        return F.struct((at + F.char_length(x["gap"])).alias("start"), (at + width(x)).alias("end"), F.lit(k).alias("k"), secret.alias("secret"))
 
-    zipped = F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("gap"), hits.alias("hit"), secrets.alias("secret"))
-    return F.when(F.rlike(text, p), F.aggregate(zipped, start, add)["out"]).otherwise(F.expr(f"cast(array() as {_FOUND})"))
+    found = laid_out(F.filter(zipped, lambda x: x["hit"].isNotNull()), width, span, _SPAN)
+    found = F.filter(found, lambda x: F.char_length(x["secret"]) >= least)
+    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.expr(f"cast(array() as {_FOUND})"))
 
 
 def _shown(found: Column) -> Column:
@@ -55,13 +57,14 @@ def _shown(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(by), lambda x: F.concat_ws(":", names[x["k"]], x["start"], x["end"])), ",")
 
 
-def scan_secrets(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id", shared_owners: int = SHARED_OWNERS) -> DataFrame:
+def scan_secrets(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id", shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base (spans of those kinds), spans (with what the
     method adds), n_live, n_example, n_weak (verdicts on all candidates), and live (the secrets' SHA-256s).
 
     A candidate's hash is counted by distinct repositories within owners and then by owners, each time pre-aggregated,
-    so an example copied everywhere passes as one row for each owner. It is an example from shared_owners owners on; else it
-    looks live if it has LIVE_CHARS characters with letters and digits, and is weak otherwise. Candidates join their
+    so an example copied everywhere passes as one row for each owner. It is an example from shared_owners owners or
+    shared_repositories repositories on; else it looks live if it has LIVE_CHARS characters with letters and digits, and is weak
+    otherwise. Candidates join their
     verdict by hash, on narrow rows without texts, and meet again by row.
 
     Null text: empty. Null owner or repository: one owner or repository of that name. Null doc_id and repeated rows: kept;
@@ -84,7 +87,8 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", t
     # A secret's own look: letters and digits, and long enough.
     looks = (F.char_length("x.secret") >= LIVE_CHARS) & F.rlike("x.secret", F.lit("[A-Za-z]")) & F.rlike("x.secret", F.lit("[0-9]"))
     narrow = candidates.select("doc_id", "row", F.col("x.digest").alias("digest"), looks.alias("looks"), F.struct("x.start", "x.end", "x.k", "x.secret").alias("x"))
-    verdict = F.when(F.col("owners") >= shared_owners, "example").when(F.col("looks"), "live").otherwise("weak")
+    shared = (F.col("owners") >= shared_owners) | (F.col("repositories") >= shared_repositories)
+    verdict = F.when(shared, "example").when(F.col("looks"), "live").otherwise("weak")
     judged = narrow.join(owners, "digest").withColumn("verdict", verdict)
     is_ = lambda v: F.when(F.col("verdict") == v, F.struct("x.start", "x.k"))
     sums = judged.groupBy("doc_id", "row").agg(
