@@ -46,8 +46,9 @@ def bench(spark, items):
 ITEMS = [(1, "quick Brown fox; jumps over the lazy dog while twelve more animals look"), (2, "x"), (None, "id"), (3, None), (4, "!!"), (2, "x"), (10, "a" * 5000), (11, "éé ÉÉ"), (12, "id here")]
 
 
-@pytest.mark.parametrize("block", [1, 1 << 20])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize(("block", "held"), [(1, 1), (1, 1 << 30), (1 << 20, 1 << 30)])
+def test_decontamination(spark, block, held, monkeypatch):
+    monkeypatch.setattr(decontam, "HELD_BYTES", held)
     out = decontam.decontaminate(spark, docs(spark), bench(spark, ITEMS), block_bytes=block)
     assert by_row(out.select("doc_id", "n_words", "n_hit", "n_items", "items", "contaminated")) == contaminated_brute(ROWS, ITEMS)
 
@@ -61,6 +62,15 @@ def test_decontamination_of_nothing(spark):
     assert sorted(r.doc_id or -1 for r in out.collect()) == sorted(r[0] or -1 for r in contaminated_brute(ROWS, ITEMS) if not r[-1]) and dirty
 
 
+def test_blocks_of_a_large_benchmark_stay_small(spark):
+    r = random.Random(2)
+    items = [(k, " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(400))) for k in range(600)]  # 1.7 MB
+    groups = decontam._blocks(spark, bench(spark, items), "item_id", "text", decontam.BLOCK_BYTES)
+    sizes = [b.value.bytes for g in groups for b in g]
+    assert max(sizes) <= decontam.BLOCK_BYTES and sum(sizes) < 40 << 20
+    assert all(sum(b.value.bytes for b in g) <= decontam.HELD_BYTES for g in groups)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(alphabet="ab ", max_size=40), max_size=6), st.lists(st.text(alphabet="ab ,", max_size=60), min_size=1, max_size=5))
 def test_matcher(items, texts):
