@@ -83,9 +83,9 @@ def test_near_edge_cases(spark):
     assert simhash.near_duplicates(spark, none(spark)).count() == 0
 
 
-@pytest.mark.parametrize("group", [2, 512])
+@pytest.mark.parametrize("group", [0.05, 2, 512])
 def test_links_find_every_pair(spark, group, monkeypatch):
-    """Clusters around a few centres, in which chains of links matter; group=2 makes hot prefixes."""
+    """Clusters around a few centres, in which chains of links matter; group=2 makes hot prefixes, 0.05 splits them often."""
     r = random.Random(3)
     values = set()
     for _ in range(12):

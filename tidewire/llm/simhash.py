@@ -21,7 +21,9 @@ NEAR, FAR = RADIUS // 2, RADIUS - RADIUS // 2
 GROUP = 512
 """Fingerprints aimed at for each prefix of the variants."""
 SUB_BITS = 6
-"""Further bits by which a hot prefix is split."""
+"""Further bits by which a hot prefix is split, again and again until none is hot."""
+MOST_HOT = 1_000_000
+"""Hot prefixes of one length at most: beyond so many, prefixes count as hot from a larger size on."""
 AT_ONCE = 2_000_000
 """Variants that a task holds at a time."""
 
@@ -67,17 +69,22 @@ def links(spark: SparkSession, fps: DataFrame, group: int = GROUP) -> DataFrame:
     variants of each don't fit a shuffle, the shuffle is on the variants' first bits: a fingerprint is sent once to each
     prefix that a variant of it has, and the variants with that prefix are made there. Where variants meet, everyone is
     linked to one marked member, never all pairs, and each link is verified; a task sends on one edge per fingerprint.
-    Prefixes with very many fingerprints, found by counting, are split by SUB_BITS more bits over other tasks.
+    Prefixes with very many fingerprints, found by counting, are split by SUB_BITS more bits over other tasks, and those
+    that are still hot are split again.
     """
     n = fps.count()
     top = min(24, max(6, math.ceil(math.log2(max(1, n) / group)) if n > group else 6))
-    hot_from = max(40 * group, n // 1000)  # so at most 1000 prefixes can be hot
-    prefix = F.shiftrightunsigned("fp", BITS - top)
-    hot = {r.p for r in fps.groupBy(prefix.alias("p")).count().where(F.col("count") > hot_from).collect()}
+    hot_from, hot = max(40 * group, n // MOST_HOT), []
+    for bits in range(top, BITS - SUB_BITS + 1, SUB_BITS):
+        counted = fps.groupBy(F.shiftrightunsigned("fp", BITS - bits).alias("p")).count()
+        found = [r.p for r in counted.where(F.col("count") > hot_from).select("p").collect()]
+        if not found:
+            break
+        hot.append(np.sort(np.array(found, np.int64).view(np.uint64)))
     parts = max(spark.sparkContext.defaultParallelism, min(1 << top, math.ceil(n * _ball(top) / 200_000)))
-    sent = fps.select("fp").mapInArrow(_Send(top, hot), "key long, sub int, fp long").repartition(parts, "key", "sub")
-    meet = _Meet(top)
-    return sent.groupBy("key", "sub").applyInArrow(lambda table: meet(table), "a long, b long").distinct()
+    sent = fps.select("fp").mapInArrow(_Send(top, hot), "key long, bits int, fp long").repartition(parts, "key", "bits")
+    meet = _Meet()
+    return sent.groupBy("key", "bits").applyInArrow(lambda table: meet(table), "a long, b long").distinct()
 
 
 def _ball(bits: int) -> int:
@@ -89,34 +96,36 @@ def _masks(bits: int, most: int) -> np.ndarray:
 
 
 class _Send:
-    def __init__(self, top, hot):
-        self.top, self.hot = top, np.array(sorted(hot), np.uint64)
+    """Each fingerprint to all prefixes within FAR of its own. hot: by how often they were split, the prefixes to split."""
+
+    def __init__(self, top: int, hot: list[np.ndarray]):
+        self.top, self.hot = top, hot
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks, subs = _masks(self.top, FAR), _masks(SUB_BITS, FAR)
-        used, sub_used = np.bitwise_count(masks), np.bitwise_count(subs)
+        masks = _masks(self.top, FAR)
         for b in batches:
             fp = b.column("fp").to_numpy().view(np.uint64)
             own = fp >> np.uint64(BITS - self.top)
-            sub = (fp >> np.uint64(BITS - self.top - SUB_BITS)) & np.uint64((1 << SUB_BITS) - 1)
-            for m, u in zip(masks, used, strict=True):
-                key = own ^ m
-                hot = np.isin(key, self.hot)
-                for where, kind in ((~hot, None), *((hot, s) for s in zip(subs, sub_used, strict=True))):
-                    if kind is not None and u + kind[1] > FAR or not where.any():
-                        continue
-                    to = np.full(where.sum(), -1, np.int32) if kind is None else (sub[where] ^ kind[0]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[where].view(np.int64)), pa.array(to), pa.array(fp[where].view(np.int64))], names=["key", "sub", "fp"])
+            for m, u in zip(masks, np.bitwise_count(masks).tolist(), strict=True):
+                key, bits, to = (np.concatenate(x) for x in zip(*self._split(fp, own ^ m, u, 0), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(bits), pa.array(to.view(np.int64))], names=["key", "bits", "fp"])
+
+    def _split(self, fp: np.ndarray, key: np.ndarray, used: int, times: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(prefixes, their bits, fingerprints) of fingerprints sent to key, which is `used` bits off."""
+        bits = self.top + times * SUB_BITS
+        hot = np.isin(key, self.hot[times]) if times < len(self.hot) else np.zeros(len(key), bool)
+        yield key[~hot], np.full((~hot).sum(), bits, np.int32), fp[~hot]
+        if hot.any():
+            fp, key = fp[hot], key[hot] << np.uint64(SUB_BITS)
+            own = (fp >> np.uint64(BITS - bits - SUB_BITS)) & np.uint64((1 << SUB_BITS) - 1)
+            for m in _masks(SUB_BITS, FAR - used):
+                yield from self._split(fp, key | (own ^ m), used + int(np.bitwise_count(m)), times + 1)
 
 
 class _Meet:
-    def __init__(self, top):
-        self.top = top
-
     def __call__(self, table: pa.Table) -> pa.Table:
         fp = np.sort(table.column("fp").to_numpy().view(np.uint64))
-        key, sub = table.column("key")[0].as_py(), table.column("sub")[0].as_py()
-        fixed, value = (self.top, key) if sub < 0 else (self.top + SUB_BITS, key << SUB_BITS | sub)
+        value, fixed = table.column("key")[0].as_py() % (1 << BITS), table.column("bits")[0].as_py()
         root = np.arange(len(fp))
         for a, b in _meetings(fp, np.arange(len(fp)), fixed, value):
             root = _join(root, a, b)
