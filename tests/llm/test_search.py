@@ -297,6 +297,66 @@ def test_held_out_accuracy(spark):
     rest = df.where("doc_id >= 100").selectExpr("doc_id", "text", "source as host", "'' as declared")
     rows = langid.identify(spark, rest, model, ["doc_id"]).withColumnRenamed("lang", "found").join(df, "doc_id").select("found", "lang", "rejected").collect()
     assert sum(r.found == r.lang for r in rows) >= 0.97 * len(rows) and not any(r.rejected for r in rows)
+    for lang in {r.lang for r in rows}:
+        own = [r.found == lang for r in rows if r.lang == lang]
+        assert sum(own) >= 0.95 * len(own), lang
+
+
+def identify_brute(rows, model):
+    """rows (id, text, host, declared): by id the language, its probability, the text's language, rejected."""
+    langs, n = model.languages, len(model.languages)
+    softmax = lambda x: np.exp(x - np.max(x)) / np.exp(x - np.max(x)).sum()
+    known = []
+    for i, text, host, declared in rows:
+        raw = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in (text or "").encode())
+        raw, ll, grams = b" " + raw + b" ", np.zeros(n), 0
+        for k in range(1, len(raw) - 1):
+            if raw[k] != 32:
+                bucket = (int.from_bytes(raw[k - 1 : k + 2], "big") * 2654435769 % 2**32) >> (32 - langid.BUCKETS_BITS)
+                ll, grams = ll + model.table[bucket], grams + 1
+        log = ll * min(1, langid.INDEPENDENT / max(grams, 1))
+        host = (host or "").lower()
+        label = host.split(".")
+        levels = ["", label[-1] if len(label) > 1 else "", ".".join(label[-2:]) if len(label) > 1 else host, host]
+        known.append((i, log, softmax(log), (declared or "").lower(), levels, ll, grams))
+    sums, table = [{} for _ in range(4)], np.full((n, n), langid.SMOOTH)
+    for _, _, p, declared, levels, *_ in known:
+        for at, name in zip(sums, levels, strict=True):
+            at[name] = at.get(name, 0) + p
+        if declared in langs:
+            table[langs.index(declared)] += p
+    table, out = table / table.sum(axis=0), {}
+    for i, log, p, declared, levels, ll, grams in known:
+        prior = np.full(n, 1 / n)
+        for at, name in zip(sums, levels, strict=True):
+            rest = np.maximum(at[name] - p, 0)
+            prior = (rest + langid.STRENGTH * prior) / (rest.sum() + langid.STRENGTH)
+        post = softmax(log + np.log(prior) + (np.log(table[langs.index(declared)]) if declared in langs else 0))
+        out[i] = (langs[int(post.argmax())], round(float(post.max()), 6), langs[int(p.argmax())] if grams else None, grams == 0 or bool(ll.max() < -grams * np.log(2**langid.BUCKETS_BITS)))
+    return out
+
+
+def test_fusion(spark):
+    """Evidence of every kind over whole documents, cut short to leave doubts, against plain Python."""
+    r, rows = random.Random(6), []
+    docs_in = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit_text_model(docs_in)
+    for x in docs_in.collect():
+        text = r.choice((x.text, (x.text or "")[: r.randint(0, 12)]))
+        host = r.choice((f"{x.lang}.site.example", f"www.{x.lang}", "mixed.example.org", "plain", "Www.Mixed.Example.ORG", "", None))
+        rows.append((str(x.doc_id), text, host, r.choice((x.lang, "en", "xx", "", None))))
+    out = langid.identify(spark, spark.createDataFrame(rows, "id string, text string, host string, declared string"), model, ["id"]).collect()
+    got, want = {x.id: (x.lang, round(x.confidence, 6), x.text_lang, x.rejected) for x in out}, identify_brute(rows, model)
+    assert set(got) == set(want)
+    for k, w in want.items():
+        assert got[k][0] == w[0] and got[k][2:] == w[2:] and abs(got[k][1] - w[1]) < 1e-4, (k, got[k], w)
+
+
+def test_model_is_the_same_again(spark):
+    """Rows without a key, and rows alike in everything, in any order and partitioning."""
+    rows = [(None, f"the cat number {k}", "en") for k in range(300)] + [(None, "der hund", "de")] * 200
+    models = [langid.fit_text_model(spark.createDataFrame(x, "doc_id string, text string, lang string").repartition(n)) for x, n in ((rows, 1), (rows[::-1], 7))]
+    assert models[0].languages == models[1].languages and (models[0].table == models[1].table).all()
 
 
 def test_every_labelled_language_has_a_class(spark):
