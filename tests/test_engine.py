@@ -1,6 +1,10 @@
 """Moves, deduplication, correlation, sources and streams."""
 
+import json
 import random
+import re
+import threading
+import time
 import urllib.error
 from types import SimpleNamespace
 
@@ -100,6 +104,91 @@ def test_first_fit_is_sequential(spark):
         assert {x.seq: x.duplicate_of for x in dedup.first_fit(spark, pairs).collect()} == gone
 
 
+def test_a_long_chain_and_rounds(spark):
+    """Each story matches only the one before; and random graphs by rounds and by the pass in order, in any numbering."""
+    pairs = spark.createDataFrame([(k + 1, k) for k in range(2000)], "seq long, earlier long")
+    want = {k: k - 1 for k in range(1, 2001, 2)}
+    assert {x.seq: x.duplicate_of for x in dedup.first_fit(spark, pairs).collect()} == want
+    assert {x.seq: x.duplicate_of for x in dedup.first_fit(spark, pairs.limit(300), at_once=250).collect()} == {k: v for k, v in want.items() if k <= 300}
+    r = random.Random(8)
+    order = list(range(60))  # numbers in order of time
+    r.shuffle(order)
+    edges = [(order[b], float(b), order[a], float(a)) for a in range(60) for b in range(a + 1, 60) if r.random() < 0.1]
+    kept, gone = [], {}
+    for k, v in enumerate(order):
+        hit = next((a for a in kept if (v, float(k), order[a], float(a)) in edges), None)
+        if hit is None:
+            kept.append(k)
+        else:
+            gone[v] = order[hit]
+    pairs = spark.createDataFrame(edges, "seq long, ts double, earlier long, earlier_ts double")
+    for at_once in (0, 10**9):
+        assert {x.seq: x.duplicate_of for x in dedup.first_fit(spark, pairs, at_once).collect()} == gone
+
+
+def shingle_set(headline):
+    w = [x for x in re.findall("[a-z0-9$%.]+", headline.lower()) if x not in rules.STOP_WORDS and len(x) > 1]
+    return set(w) if len(w) < 2 else {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
+
+
+def alike(a, b, cfg):
+    both = len(a & b)
+    return both > 0 and (both / len(a | b) >= cfg.similarity or both / min(len(a), len(b)) >= cfg.containment)
+
+
+def test_pairs_at_random(spark):
+    r, words = random.Random(5), [f"w{k}" for k in range(9)]
+    rows = [(k, r.uniform(0, 9000), " ".join(r.choice(words) for _ in range(r.randint(0, 9)))) for k in range(150)]
+    cfg = rules.NewsConfig()
+    by = sorted(rows, key=lambda x: (x[1], x[0]))
+    want = {(b[0], a[0]) for i, a in enumerate(by) for b in by[i + 1 :] if b[1] - a[1] <= cfg.ttl_s and alike(shingle_set(a[2]), shingle_set(b[2]), cfg)}
+    got = dedup.similar_pairs(spark.createDataFrame(rows, "seq long, ts double, headline string")).collect()
+    assert {(x.seq, x.earlier) for x in got} == want and len(got) == len(want) > 40
+
+
+def test_follower_is_sequential(spark):
+    """Headlines and ticks numbered out of order, against one pass over them in order of time."""
+    r, cfg = random.Random(9), rules.FollowConfig(news=rules.NewsConfig(ttl_s=400.0), correlate_s=60.0)
+    told = ("OPEC announces surprise output cut", "OPEC announces surprise output cut of oil", "Fed raises rates by 50 basis points", "Fed raises interest rates by 50 bps today", "Quiet day", "Acme files for bankruptcy, credit default feared")
+    numbers = r.sample(range(1000), 120)
+    items = [(n, f"i{n}", r.choice(told), "reuters", r.uniform(0, 3000), "", r.sample(["SYN", "OTH", "X"], r.randint(0, 3)), "") for n in numbers]
+    ticks = [*prices.walk(600, seed=3), *prices.walk(600, "OTH", seed=4)]
+    ticks = [(s, k, t, p * (0.9 if k % 97 > 90 else 1), v * (15 if k % 97 in (91, 92) else 1)) for s, k, t, p, v in ticks]
+    frame = spark.createDataFrame(items, "seq long, id string, headline string, source string, ts double, body string, symbols array<string>, url string")
+    tick_frame = spark.createDataFrame(ticks, TICK)
+    scored = {x.seq: x for x in score.score_news(frame, cfg.news).collect()}
+    found = moves.quick_moves(tick_frame, cfg.move).collect()
+    kept, news, moved, alerts, dropped = [], [], [], [], []
+    events = [(i[4], 0, i[0], i) for i in items] + [(m.ts, 1, m.seq, m) for m in found]
+    for ts, kind, seq, x in sorted(events, key=lambda e: e[:3]):
+        if kind:
+            moved.append(x)
+            hit = next((n for n in reversed(news) if x.symbol in n[1] and ts - n[0] <= cfg.correlate_s), None)
+            alerts.append(("confirmed" if hit else "unexplained_move", ts, x.symbol, hit and hit[2]))
+            continue
+        s = scored[seq]
+        if s.priority < rules.NORMAL:
+            dropped.append(seq)
+            continue
+        own = shingle_set(x[2])
+        if any(ts - t <= cfg.news.ttl_s and alike(own, k, cfg.news) for t, k in kept):
+            dropped.append(seq)
+            continue
+        kept.append((ts, own))
+        news.append((ts, list(s.all_symbols), x[2]))
+        hit = next((m for y in s.all_symbols for m in reversed(moved) if m.symbol == y and ts - m.ts <= cfg.correlate_s), None)
+        if hit:
+            alerts.append(("confirmed", ts, hit.symbol, x[2]))
+        elif s.priority >= cfg.min_priority:
+            alerts.append(("news_critical", ts, None, x[2]))
+        else:
+            dropped.append(seq)
+    got, gone = follow.follow(spark, frame, tick_frame, cfg)
+    assert sorted((a.kind, a.ts, a.move and a.move.symbol, a.item and a.item.headline) for a in got.collect()) == sorted(alerts, key=lambda a: a[:2])
+    assert sorted(x.seq for x in gone.collect()) == sorted(dropped)
+    assert {a[0] for a in alerts} == {"confirmed", "unexplained_move", "news_critical"} and len(dropped) > 20
+
+
 def test_time_to_live(spark):
     df = spark.createDataFrame([(0, 0.0, "OPEC output cut shocks oil"), (1, 30.0, "OPEC output cut shocks oil"), (2, 500.0, "OPEC output cut shocks oil"), (3, 501.0, "")], "seq long, ts double, headline string")
     got = {r.seq: r.duplicate_of for r in dedup.deduplicate(spark, df, rules.NewsConfig(ttl_s=60.0)).collect()}
@@ -203,11 +292,84 @@ def test_sinks(spark, tmp_path, capsys):
     sinks.terminal(colour=False)(lines, 0)
     assert capsys.readouterr().out == "00:00:00 *(US) B  [news_critical]\n00:00:01 -C\n"
     said = []
-    sinks.voice(run=lambda a, check: said.append(a), find=lambda x: x == "espeak")(lines, 0)
+
+    class Said:
+        def __init__(self, argv):
+            said.append(argv)
+
+        def wait(self):
+            pass
+
+    voice = sinks.Voice(start=Said, find=lambda x: x == "espeak")
+    voice(lines, 0)
+    voice.close()
     assert said == [["espeak", "-s", "190", "B"]]
     assert {r.priority: r.n for r in sinks.counts(lines).collect()} == {"CRITICAL": 1, "LOW": 1}
 
 
+def test_a_critical_line_stops_a_lesser_one():
+    done, log = {}, []
+
+    class Slow:
+        def __init__(self, argv):
+            self.text, self.over = argv[-1], threading.Event()
+            done[self.text] = self
+            log.append(self.text)
+
+        def wait(self):
+            self.over.wait(20)
+
+        def terminate(self):
+            log.append(f"stop {self.text}")
+            self.over.set()
+
+    voice = sinks.Voice(start=Slow, find=lambda x: x == "espeak")
+    voice.say("first", rules.IMPORTANT)
+    while "first" not in done:
+        time.sleep(0.01)
+    voice.say("second", rules.IMPORTANT)
+    voice.say("now", rules.CRITICAL)
+    for text in ("now", "second"):
+        while text not in done:
+            time.sleep(0.01)
+        done[text].over.set()
+    voice.close()
+    assert log == ["first", "stop first", "now", "second"]
+
+
+def test_live_sources(monkeypatch):
+    """Each feed at its own interval; bars and trades once, over a restart with the offset."""
+    bodies, asked, clock = {}, [], [1000.0]
+
+    class Canned:
+        def __init__(self, state):
+            self.state = state
+
+        def get(self, url, now):
+            asked.append((now, url))
+            return http.Answer(200, bodies.get(url, b""))
+
+    monkeypatch.setattr(http._FeedReader, "poller", Canned)
+    monkeypatch.setattr(http._PriceReader, "poller", Canned)
+    monkeypatch.setattr(http.time, "time", lambda: clock[0])
+    bodies["u1"] = b"x"
+    reader = http._FeedReader({"feeds": json.dumps([["a", "u1", 10.0], ["b", "u2", 60.0]])})
+    offset = reader.initialOffset()
+    for clock[0] in (1000.0, 1005.0, 1010.0, 1061.0):
+        rows, offset = reader.read(offset)
+        list(rows)
+    assert asked == [(1000.0, "u1"), (1000.0, "u2"), (1010.0, "u1"), (1061.0, "u1"), (1061.0, "u2")]
+    chart = lambda n: json.dumps({"chart": {"result": [{"timestamp": [60 * k for k in range(n)], "indicators": {"quote": [{"close": [None, *range(1, n)], "volume": [None] * n}]}}]}}).encode()
+    options = {"symbols": json.dumps({"S": "c"}), "products": json.dumps({"P": "t"}), "since": json.dumps({"S": 60.0})}
+    offset, got = http._PriceReader(options).initialOffset(), []
+    for clock[0], n, trade in ((2000.0, 4, 7), (2010.0, 9, 9), (2020.0, 5, 7), (2040.0, 5, 8)):
+        bodies["c"], bodies["t"] = chart(n), json.dumps({"trade_id": trade, "price": "3.5", "size": None}).encode()
+        rows, offset = http._PriceReader(options).read(json.loads(json.dumps(offset)))
+        got += [(s, ts, p) for s, _, ts, p, _ in rows]
+    assert got == [("S", 120.0, 2.0), ("P", 2000.0, 3.5), ("S", 180.0, 3.0), ("P", 2040.0, 3.5)]
+    assert http.closed_bars(b"{}") == [] and http.last_trade(b"oops") is None
+
+
 def test_histogram(spark):
     df = spark.createDataFrame([(1, "below X: a"), (2, "cat=a; b"), (3, "below X: c")], "seq long, reason string")
     assert [(r.reason, r.n) for r in score.drop_histogram(df).collect()] == [("below X", 2), ("cat=a", 1)]

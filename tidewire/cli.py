@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import time
 from collections.abc import Sequence
 from urllib.parse import quote
@@ -14,11 +15,12 @@ from pyspark.sql.window import Window
 from . import rules
 from .operators import follow
 from .sources import feeds, prices, registry
-from .sources.http import FeedSource, Poller
+from .sources.http import FeedSource, Poller, PriceSource
 from .streaming import live, sinks
 
 CHART = "https://query1.finance.yahoo.com/v8/finance/chart/{}?range=1d&interval=1m"
 TICKER = "https://api.exchange.coinbase.com/products/{}/ticker"
+PRODUCTS = ("BTC-USD", "ETH-USD")
 SYMBOLS = ("^GSPC", "^NDX", "^VIX", "^TNX", "CL=F", "GC=F", "ZW=F", "DX-Y.NYB")
 PRICE_POLL_S = 20
 
@@ -96,21 +98,20 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, p
 
 def run(spark: SparkSession, args, sources: DataFrame, poller: Poller, level: int, watch: tuple[str, ...]) -> int:
     """The live service: feeds and bars as streams, alerts to the terminal, the log and the voice."""
-    from .storage import new_folder
-
     live.configure(spark)
-    spark.dataSource.register(FeedSource)
-    urls = " ".join(f"{s['key']}={s['url']}" for s in sources.toLocalIterator())
+    for source in (FeedSource, PriceSource):
+        spark.dataSource.register(source)
+    polled = [(s["key"], s["url"], s["poll_s"]) for s in sources.toLocalIterator()]
     began = time.time() + args.prime
-    items = live.new_items(spark.readStream.format("feeds").option("urls", urls).load()).where(F.col("ts") >= began - 1800)
+    items = live.new_items(spark.readStream.format("feeds").option("feeds", json.dumps(polled)).load()).where(F.col("ts") >= began - 1800)
     items = items.withColumn("seq", F.floor(F.col("ts") * 1000).cast("long"))
     symbols = split(args.symbols) or SYMBOLS
     backlog = bars(spark, symbols, poller)
-    folder = new_folder(spark, "bars")
-    backlog.limit(0).write.parquet(folder)
-    ticks = spark.readStream.schema(backlog.schema).parquet(folder)
+    since = {r["symbol"]: r["ts"] for r in backlog.groupBy("symbol").agg(F.max("ts").alias("ts")).collect()}
+    prices_in = spark.readStream.format("prices").option("poll_s", PRICE_POLL_S).option("since", json.dumps(since))
+    ticks = prices_in.option("symbols", json.dumps({x: CHART.format(quote(x, safe="")) for x in symbols})).option("products", json.dumps({x: TICKER.format(x) for x in PRODUCTS})).load()
     cfg = rules.FollowConfig(news=rules.NewsConfig(watchlist=watch), min_priority=level)
-    show, say = sinks.terminal(), sinks.voice() if args.speak else None
+    show, say = sinks.terminal(), sinks.Voice() if args.speak else None
 
     def write(batch: DataFrame, n: int) -> None:
         if time.time() < began:
@@ -124,18 +125,19 @@ def run(spark: SparkSession, args, sources: DataFrame, poller: Poller, level: in
         if say:
             say(lines, n)
 
-    q = live.live_alerts(items, ticks, cfg, backlog).writeStream.foreachBatch(write).trigger(processingTime="5 seconds").start()
-    deadline = time.time() + args.duration if args.duration else None
-    since = backlog.groupBy("symbol").agg(F.max("ts").alias("ts"))
+    print(sinks.banner(len(polled), len(symbols) + len(PRODUCTS), args.min_priority))
+    counter = sinks.Counter()
+    spark.streams.addListener(counter)
+    q = live.observed(live.live_alerts(items, ticks, cfg, backlog)).writeStream.foreachBatch(write).trigger(processingTime="5 seconds").start()
     try:
-        while q.isActive and (deadline is None or time.time() < deadline):
-            time.sleep(min(PRICE_POLL_S, max(0.0, (deadline or time.time() + PRICE_POLL_S) - time.time())))
-            fresh = bars(spark, symbols, poller).join(since.withColumnRenamed("ts", "_since"), "symbol", "left").where("_since is null or ts > _since").drop("_since")
-            fresh.write.mode("append").parquet(folder)
-            since = spark.createDataFrame(fresh.groupBy("symbol").agg(F.max("ts").alias("ts")).union(since).groupBy("symbol").agg(F.max("ts").alias("ts")).collect(), "symbol string, ts double")
+        q.awaitTermination(int(args.duration) or None)
     except KeyboardInterrupt:
         pass
     q.stop()
+    spark.streams.removeListener(counter)
+    if say:
+        say.close()
+    print(counter.summary())
     return 0
 
 

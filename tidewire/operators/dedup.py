@@ -2,61 +2,130 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import shingles
-from ..storage import stored
+from ..storage import scratch, stored
+
+AT_ONCE = 2_000_000
+"""Matches that one pass takes in order; while there are more, rounds decide what they can in parallel."""
+
+
+def _prefix(size: Column, share: float) -> Column:
+    """How many of a set's shingles, in any order all sets share, hold one of at least ceil(share * size) that another has."""
+    return size - F.ceil(F.round(size * share, 9)).cast("int") + 1
 
 
 def similar_pairs(items: DataFrame, cfg: rules.NewsConfig | None = None) -> DataFrame:
-    """(seq, earlier, inter, jaccard, containment) of pairs that match: items (seq long, unique, in order of arrival; ts;
-    headline) with ts at most ttl apart, and similarity or containment of their shingles reached.
+    """(seq, ts, earlier, earlier_ts, inter, jaccard, containment) of pairs that match: items (seq long, unique; ts; headline)
+    at most ttl_s apart, whose shingles reach the similarity or the containment. Items count in order of (ts, seq).
 
-    Both rules need a common shingle, so pairs meet on a shingle and a bucket of ttl seconds, where an earlier item also
-    stands in the next bucket: no pair further apart meets. Shingle counts of either side travel with the rows.
+    Pairs meet on a shingle and a bucket of ttl_s seconds, where an earlier item also stands in the next bucket. Not on every
+    shingle: rarest first, a containment of c shows among the first n - ceil(c n) + 1 of the smaller set's n and all of the
+    larger's, a similarity of j among the first n - ceil(j n) + 1 of either. So what stands in most headlines brings nobody
+    together unless there is nothing else. The sets of those that met are then compared whole.
     """
     cfg = cfg or rules.NewsConfig()
-    base = items.select("seq", "ts", shingles(F.col("headline")).alias("s")).withColumn("size", F.size("s"))
-    each = base.select("seq", "ts", "size", F.explode("s").alias("shingle"), F.floor(F.col("ts") / cfg.ttl_s).alias("bucket"))
-    early = each.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
-    early = early.select("shingle", "bucket", F.col("seq").alias("earlier"), F.col("ts").alias("earlier_ts"), F.col("size").alias("earlier_size"))
-    met = each.join(early, ["shingle", "bucket"]).where((F.col("earlier") < F.col("seq")) & (F.col("ts") - F.col("earlier_ts") <= cfg.ttl_s))
-    pairs = met.groupBy("seq", "earlier", "size", "earlier_size").agg(F.count("*").alias("inter"))
-    pairs = pairs.withColumns({"jaccard": F.col("inter") / (F.col("size") + F.col("earlier_size") - F.col("inter")), "containment": F.col("inter") / F.least("size", "earlier_size")})
-    return pairs.where((F.col("jaccard") >= cfg.similarity) | (F.col("containment") >= cfg.containment)).select("seq", "earlier", "inter", "jaccard", "containment")
-
-
-def first_fit(spark: SparkSession, pairs: DataFrame, rounds: int = 200) -> DataFrame:
-    """(seq, duplicate_of) of every item that goes when items are taken in order and one stays iff no kept earlier item
-    matches it; duplicate_of is its first such match.
-
-    The lexicographically first maximal independent set: in each round items without an undecided or kept earlier match
-    stay, and matches of those that stay go. Each round is written, so none recomputes the ones before.
+    base = items.select("seq", F.col("ts").cast("double").alias("ts"), shingles(F.col("headline")).alias("s"))
+    base = stored(items.sparkSession, base, "shingles").where(F.size("s") > 0)
+    each = base.select("seq", F.explode(F.array_distinct(F.transform("s", lambda x: F.xxhash64(x)))).alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "h").groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("by_rarity"))
+    known = base.join(ranked, "seq").withColumn("size", F.size("s"))
+    rows = known.select(
+        "seq", "ts", "size", F.floor(F.col("ts") / cfg.ttl_s).alias("bucket"), F.posexplode(F.transform("by_rarity", lambda x: x["h"])).alias("at", "h"),
+        _prefix(F.col("size"), cfg.similarity).alias("of_similarity"), _prefix(F.col("size"), cfg.containment).alias("of_containment"),
+    )
+    early = rows.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
+    early = early.select("h", "bucket", *[F.col(c).alias(f"e_{c}") for c in ("seq", "ts", "size", "at", "of_similarity", "of_containment")])
+    before = F.struct("e_ts", "e_seq") < F.struct("ts", "seq")
+    both = (F.col("at") < F.col("of_similarity")) & (F.col("e_at") < F.col("e_of_similarity"))
+    smaller = F.when(F.col("size") <= F.col("e_size"), F.col("at") < F.col("of_containment")).otherwise(F.col("e_at") < F.col("e_of_containment"))
+    met = rows.join(early, ["h", "bucket"]).where(before & (F.col("ts") - F.col("e_ts") <= cfg.ttl_s) & (both | smaller))
+    met = met.groupBy("seq", "e_seq").agg(F.first("ts").alias("ts"), F.first("e_ts").alias("earlier_ts"))
+    sets = base.select("seq", "s")
+    pairs = met.join(sets, "seq").join(sets.select(F.col("seq").alias("e_seq"), F.col("s").alias("e_s")), "e_seq")
+    pairs = pairs.withColumn("inter", F.size(F.array_intersect("s", "e_s")).cast("long"))
+    pairs = pairs.withColumns({"jaccard": F.col("inter") / (F.size("s") + F.size("e_s") - F.col("inter")), "containment": F.col("inter") / F.least(F.size("s"), F.size("e_s"))})
+    alike = (F.col("jaccard") >= cfg.similarity) | (F.col("containment") >= cfg.containment)
+    return pairs.where(alike).select("seq", "ts", F.col("e_seq").alias("earlier"), "earlier_ts", "inter", "jaccard", "containment")
+
+
+def _in_order(matches: DataFrame) -> DataFrame:
+    """(seq, duplicate_of) of what goes, from matches read in order by one task, whose state is what went within the longest
+    time between two matches."""
+    longest = matches.agg(F.max(F.col("ts") - F.col("earlier_ts"))).first()[0] or 0.0
+    longest = math.inf if math.isnan(longest) else longest
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gone: dict[int, float] = {}
+        now, settled, swept = None, False, 0
+        for pdf in batches:
+            out = []
+            for seq, ts, earlier in zip(pdf["seq"].tolist(), pdf["ts"].tolist(), pdf["earlier"].tolist(), strict=True):
+                if seq != now:
+                    now, settled = seq, False
+                if not settled and earlier not in gone:
+                    settled = True
+                    gone[seq] = ts
+                    out.append((seq, earlier))
+                if len(gone) > 2 * swept + 100_000:
+                    gone = {k: t for k, t in gone.items() if t >= ts - longest}
+                    swept = len(gone)
+            yield pd.DataFrame(out, columns=["seq", "duplicate_of"])
+
+    ordered = matches.repartition(1).sortWithinPartitions("ts", "seq", "earlier_ts", "earlier")
+    return ordered.mapInPandas(fold, "seq long, duplicate_of long")
+
+
+def first_fit(spark: SparkSession, pairs: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """(seq, duplicate_of) of every item that goes when items are taken in order of (ts, seq) and one stays iff no kept earlier
+    item matches it; duplicate_of is its first such match. pairs: seq, earlier, and their ts and earlier_ts (by default the
+    numbers themselves).
+
+    The lexicographically first maximal independent set, which a chain of matches makes sequential by nature. While over
+    at_once matches are undecided, a round in parallel keeps all items without an undecided or kept earlier match, and drops
+    their matches; the rest, or all of it if rounds decide little, is read in order by one task, as a stream.
     """
-    edges = stored(spark, pairs.select("seq", "earlier").distinct(), "edges")
-    left, gone = edges, None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
-        later = left.select(F.col("seq").alias("earlier")).distinct()
-        now_kept = left.select("earlier").distinct().join(later, "earlier", "left_anti")  # nothing is left that comes before them
-        hit = stored(spark, left.join(now_kept, "earlier").groupBy("seq").agg(F.min("earlier").alias("duplicate_of")), "hit")
-        gone = hit if gone is None else gone.union(hit)
-        rest = left.join(hit.select("seq"), "seq", "left_anti").join(hit.select(F.col("seq").alias("earlier")), "earlier", "left_anti")
-        left = stored(spark, rest.join(now_kept, "earlier", "left_anti").select("seq", "earlier"), "left")
-    else:
-        raise RuntimeError("first fit did not settle")
-    if gone is None:
-        return edges.select("seq", F.col("earlier").alias("duplicate_of"))
-    # The first kept match, which may be one that was settled in a later round.
-    dropped = stored(spark, gone.select("seq"), "gone")
-    kept_edges = edges.join(dropped.select(F.col("seq").alias("earlier")), "earlier", "left_anti")
-    return kept_edges.join(dropped, "seq", "left_semi").groupBy("seq").agg(F.min("earlier").alias("duplicate_of"))
+    for c, of in (("ts", "seq"), ("earlier_ts", "earlier")):
+        if c not in pairs.columns:
+            pairs = pairs.withColumn(c, F.col(of).cast("double"))
+    with scratch(spark) as keep:
+        edges = stored(spark, pairs.select("seq", "ts", "earlier", "earlier_ts").distinct(), "edges")
+        left, n, gone = edges, edges.count(), []
+        while n > at_once:
+            later = left.select(F.col("seq").alias("earlier")).distinct()
+            now_kept = left.select("earlier").distinct().join(later, "earlier", "left_anti")  # nothing is left that comes before them
+            hit = stored(spark, left.join(now_kept, "earlier", "left_semi").select("seq").distinct(), "hit")
+            rest = left.join(hit, "seq", "left_anti").join(hit.withColumnRenamed("seq", "earlier"), "earlier", "left_anti")
+            left = stored(spark, rest.join(now_kept, "earlier", "left_anti").select("seq", "ts", "earlier", "earlier_ts"), "left")
+            gone.append(hit)
+            was, n = n, left.count()
+            if n > 0.9 * was:
+                break
+        last = stored(spark, _in_order(left), "last") if n else None
+        if not gone:
+            found = last if last is not None else stored(spark, edges.select("seq", F.col("earlier").alias("duplicate_of")), "last")
+        else:  # the first kept match, which may be one that was settled in a later round
+            dropped = [*gone, *([last.select("seq")] if last is not None else [])]
+            every = dropped[0]
+            for d in dropped[1:]:
+                every = every.union(d)
+            every = stored(spark, every, "gone")
+            kept = edges.join(every.withColumnRenamed("seq", "earlier"), "earlier", "left_anti").join(every, "seq", "left_semi")
+            found = stored(spark, kept.groupBy("seq").agg(F.min_by("earlier", F.struct("earlier_ts", "earlier")).alias("duplicate_of")), "last")
+        keep(found)
+    return found
 
 
 def deduplicate(spark: SparkSession, items: DataFrame, cfg: rules.NewsConfig | None = None) -> DataFrame:
-    """items with duplicate_of: the seq of the kept earlier item that it repeats, null if it stays."""
+    """items with duplicate_of: the seq of the kept earlier item that it repeats, null if it stays. Items count in order of
+    (ts, seq), however they are numbered; none is late."""
     items = stored(spark, items, "items")
     return items.join(first_fit(spark, similar_pairs(items, cfg)), "seq", "left")

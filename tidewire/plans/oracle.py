@@ -183,9 +183,12 @@ _MARKET = _case([(f"indicator = {q(k)}", str(v[1])) for k, v in rules.INDICATORS
 
 _STOP = I._LIST(rules.STOP_WORDS)
 _STORIES = f"""
-w AS (SELECT doc_id AS seq, doc_id * 60.0 AS ts, list_filter(regexp_extract_all(lower(split_part(coalesce(text, ''), chr(10), 1)), '[a-z0-9$%.]+'), lambda x: NOT list_contains({_STOP}, x) AND length(x) > 1) AS w FROM documents),
+w AS (SELECT doc_id AS seq, doc_id * 60.0 AS ts, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9$%.]+'), lambda x: NOT list_contains({_STOP}, x) AND length(x) > 1) AS w FROM documents),
 d AS (SELECT seq, ts, CASE WHEN len(w) < 2 THEN list_distinct(w) ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w)
 """
+_PAIRS = """e AS (SELECT seq, ts, len(s) AS n, unnest(s) AS g FROM d),
+p AS (SELECT a.seq, b.seq AS earlier, a.n AS n1, b.n AS n2, count(*) AS inter FROM e a JOIN e b ON a.g = b.g AND b.seq < a.seq AND a.ts - b.ts <= 2700 GROUP BY ALL),
+x AS (SELECT *, inter / (n1 + n2 - inter) AS j, inter / least(n1, n2) AS c FROM p)"""
 
 _M = I.MOVES
 _ANCHORS = "\n".join(
@@ -251,7 +254,7 @@ r AS (
 mv AS (SELECT symbol, seq, ts, CASE fired WHEN 1 THEN {_M.windows_s[0]} ELSE {_M.windows_s[1]} END::DOUBLE AS window_s, ret, z, volume_ratio, price_from, price AS price_to, reversal FROM r WHERE fired > 0)
 """
 _MOVE_ROWS = "SELECT symbol, seq, window_s, round(ret, 6) AS ret, round(z, 6) AS z, round(volume_ratio, 6) AS volume_ratio, price_from, price_to, reversal FROM mv"
-_NEWS = "nw AS (SELECT seq, ts, symbol FROM t WHERE seq % 7 = 0), ns AS (SELECT DISTINCT seq, ts, unnest([symbol, 'purchase']) AS symbol, unnest([0, 1]) AS pos FROM nw)"
+_NEWS = "nw AS (SELECT seq, ts, symbol FROM t), ns AS (SELECT DISTINCT seq, ts, unnest([symbol, 'purchase']) AS symbol, unnest([0, 1]) AS pos FROM nw)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -271,24 +274,21 @@ def oracle_sql() -> dict[str, str]:
         "tape_lines": _TAPE + "SELECT seq, body, region, org, speaker FROM h JOIN line USING (headline, source)",
         "rendered_lines": _TAPE + f"""SELECT seq, strftime(make_timestamp(CAST((ts + seq % 86400) * 1000000 AS BIGINT)), '%H:%M:%S') || ' ' || CASE WHEN seq % 5 >= 4 THEN '*' ELSE '-' END || CASE WHEN region <> '' THEN '(' || region || ') ' ELSE '' END || body AS line,
   replace(CASE WHEN region <> '' THEN region || '. ' ELSE '' END || upper(sp[1:1]) || lower(sp[2:]), '  ', ' ') AS spoken FROM (SELECT *, {_spoken('body')} AS sp FROM h JOIN line USING (headline, source))""",
-        "log_lines": _TAPE + f"SELECT strftime(make_timestamp(CAST(ts * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') AS iso, {_NAMES}[1 + seq % 5] AS priority, region, count(*) AS n FROM h JOIN line USING (headline, source) GROUP BY ALL",
+        "log_lines": _TAPE + f"SELECT strftime(make_timestamp(CAST(ts * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') AS iso, {_NAMES}[1 + seq % 5] AS priority, region, org, speaker, body, array_to_string(regexp_extract_all(headline, '\\(([A-Z]{{1,5}})\\)', 1), ',') AS symbols, source, '' AS url, 'news_critical' AS note FROM h JOIN line USING (headline, source)",
         "find_indicator": f"WITH {I.HEADLINES_SQL}, u AS (SELECT DISTINCT headline, lower(headline) AS t FROM h), i AS (SELECT headline, {_INDICATOR} AS indicator FROM u) SELECT seq, indicator FROM h JOIN i USING (headline)",
         "release_parse": _RELEASE + "SELECT seq, indicator, period, actual, expected, prior, unit FROM k",
         "release_priority": _RELEASE + f""", z AS (SELECT *, coalesce(abs(actual - expected) / {_SIGMA}, 0.0) AS sigma0, {_MARKET} AS market FROM k)
 SELECT seq, round(actual - expected, 6) AS surprise, round(sigma0, 6) AS sigma, CAST(CASE WHEN sigma0 * market >= 1.8 THEN 4 WHEN sigma0 * market >= 0.8 THEN 3 WHEN market >= 0.8 THEN 2 ELSE 1 END AS INTEGER) AS priority,
   concat_ws(' ', upper(indicator), nullif(upper(period), ''), {_shown('actual')}, 'VS. EXP. ' || {_shown('expected')}, '(PREV. ' || {_shown('prior')} || ')') AS body FROM z""",
         "drop_reason_topk": _score() + "SELECT trim(split_part(split_part(reason, ':', 1), ';', 1)) AS reason, count(*) AS n, min(seq) AS first_seen FROM s WHERE priority < 2 GROUP BY 1 ORDER BY n DESC, first_seen LIMIT 8",
-        "shingle_similarity_pairs": f"""WITH {_STORIES}, e AS (SELECT seq, ts, len(s) AS n, unnest(s) AS g FROM d),
-p AS (SELECT a.seq, b.seq AS earlier, a.n AS n1, b.n AS n2, count(*) AS inter FROM e a JOIN e b ON a.g = b.g AND b.seq < a.seq AND a.ts - b.ts <= 2700 GROUP BY ALL),
-x AS (SELECT *, inter / (n1 + n2 - inter) AS j, inter / least(n1, n2) AS c FROM p)
-SELECT seq, earlier, inter, round(j, 6) AS jaccard, round(c, 6) AS containment FROM x WHERE j >= 0.62 OR c >= 0.8""",
-        "dedup_greedy": f"""WITH RECURSIVE {_STORIES}, o AS (SELECT *, row_number() OVER (ORDER BY seq) AS rn FROM d),
+        "shingle_similarity_pairs": f"WITH {_STORIES}, {_PAIRS} SELECT seq, earlier, inter, round(j, 6) AS jaccard, round(c, 6) AS containment FROM x WHERE j >= 0.62 OR c >= 0.8",
+        "dedup_greedy": f"""WITH RECURSIVE {_STORIES}, {_PAIRS},
+o AS MATERIALIZED (SELECT d.seq, coalesce(es, []) AS es, row_number() OVER (ORDER BY d.seq) AS rn FROM d LEFT JOIN (SELECT seq, list(earlier ORDER BY earlier) AS es FROM x WHERE j >= 0.62 OR c >= 0.8 GROUP BY seq) USING (seq)),
 r AS (
-  SELECT 0::BIGINT AS rn, NULL::BIGINT AS seq, NULL::BIGINT AS duplicate_of, []::STRUCT(seq BIGINT, ts DOUBLE, s VARCHAR[])[] AS kept
+  SELECT 0::BIGINT AS rn, NULL::BIGINT AS seq, NULL::BIGINT AS duplicate_of, []::BIGINT[] AS gone
   UNION ALL
-  SELECT rn, seq, duplicate_of, CASE WHEN duplicate_of IS NULL THEN list_append(alive, {{'seq': seq, 'ts': ts, 's': s}}) ELSE alive END
-  FROM (SELECT *, list_filter(alive, lambda k: len(list_intersect(k.s, s)) > 0 AND (len(list_intersect(k.s, s)) / (len(k.s) + len(s) - len(list_intersect(k.s, s))) >= 0.62 OR len(list_intersect(k.s, s)) / least(len(k.s), len(s)) >= 0.8))[1].seq AS duplicate_of
-        FROM (SELECT o.rn, o.seq, o.ts::DOUBLE AS ts, o.s, list_filter(r.kept, lambda k: o.ts - k.ts <= 2700) AS alive FROM r JOIN o ON o.rn = r.rn + 1))
+  SELECT rn, seq, dup, CASE WHEN dup IS NULL THEN gone ELSE list_append(gone, seq) END
+  FROM (SELECT o.rn, o.seq, r.gone, list_filter(o.es, lambda k: NOT list_contains(r.gone, k))[1] AS dup FROM r JOIN o ON o.rn = r.rn + 1)
 )
 SELECT seq, coalesce(duplicate_of, -1) AS duplicate_of FROM r WHERE rn > 0""",
         "html_clean": "WITH c AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g') AS x FROM pages), e AS (SELECT page_id, regexp_replace(regexp_replace("
@@ -320,7 +320,7 @@ b AS (SELECT seq, arg_min(x.seq, pos) AS move_seq FROM l WHERE ts - x.ts <= 8640
 SELECT nw.seq, coalesce(move_seq, -1) AS move_seq FROM nw LEFT JOIN b USING (seq)""",
         "recent_k_ring": f"WITH {I.TICKS_SQL} SELECT symbol, seq, price FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, seq DESC) AS n FROM t) WHERE n <= 16",
         "latest_n": f"WITH {I.TICKS_SQL} SELECT seq, symbol FROM (SELECT * FROM t ORDER BY ts DESC, seq DESC LIMIT 50) ORDER BY ts, seq",
-        "speech_order": "SELECT event_id AS seq, CAST(event_id % 5 AS INTEGER) AS priority, event_type AS spoken FROM events WHERE event_id % 5 >= 3 AND event_id % 6 <> 0 ORDER BY event_id % 5 DESC, event_id LIMIT 40",
+        "speech_order": "SELECT event_id AS seq, CAST(event_id % 5 AS INTEGER) AS priority, event_type AS spoken, CAST(row_number() OVER (PARTITION BY event_id % 5 ORDER BY event_id) AS INTEGER) AS place FROM events WHERE event_id % 5 >= 3 AND event_id % 6 <> 0",
     }
     sql |= _registry()
     return sql

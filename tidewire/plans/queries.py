@@ -97,7 +97,7 @@ def rendered_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, d: str) -> DataFrame:
     df = _lines(spark, d).withColumns({"priority": (F.col("seq") % 5).cast("int"), "url": F.lit(""), "note": F.lit("news_critical")})
-    return sinks.log_rows(df).groupBy("iso", "priority", "region").agg(F.count("*").alias("n"))
+    return sinks.log_rows(df).withColumn("symbols", F.array_join("symbols", ",")).drop("ts")
 
 
 def find_indicator(spark: SparkSession, d: str) -> DataFrame:
@@ -225,8 +225,8 @@ def live_moves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _news(spark, d) -> DataFrame:
-    """Every seventh event is a headline on its symbol."""
-    return I.ticks(spark, d).where(F.col("seq") % 7 == 0).select("seq", "ts", F.array("symbol", F.lit("purchase")).alias("symbols"))
+    """Every event is a headline on its symbol, and on another."""
+    return I.ticks(spark, d).select("seq", "ts", F.array("symbol", F.lit("purchase")).alias("symbols"))
 
 
 def move_news_correlation(spark: SparkSession, d: str) -> DataFrame:
@@ -249,15 +249,15 @@ def latest_n(spark: SparkSession, d: str) -> DataFrame:
 
 def speech_order(spark: SparkSession, d: str) -> DataFrame:
     rows = I.ticks(spark, d).select("seq", (F.col("seq") % 5).cast("int").alias("priority"), F.when(F.col("seq") % 6 == 0, " ").otherwise(F.col("symbol")).alias("spoken"))
-    ordered = follow.speech_order(rows)
-    return ordered.limit(40).select("seq", "priority", "spoken")
+    place = F.row_number().over(Window.partitionBy("priority").orderBy("seq"))
+    return follow.speech_order(rows).select("seq", "priority", "spoken", place.alias("place"))
 
 
 def followed_alerts(spark: SparkSession, d: str) -> DataFrame:
-    """The whole follower: headlines tagged with event types, and ticks; alerts as tape lines."""
+    """The whole follower: headlines tagged with event types, and ticks; alerts as tape lines, one of each."""
     items = I.order_items(spark, d)
     alerts, _ = follow.follow(spark, items, I.ticks(spark, d), rules.FollowConfig(move=I.MOVES))
-    return follow.tape(alerts, registry.sources(spark)).groupBy("note", "priority").agg(F.count("*").alias("n"))
+    return follow.tape(alerts, registry.sources(spark)).select("ts", "priority", "region", "org", "speaker", "body", F.array_join("symbols", ",").alias("symbols"), "source", "url", "note", "line", "spoken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

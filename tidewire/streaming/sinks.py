@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import os
+import queue
 import shutil
 import subprocess
 import sys
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from .. import rules
 from ..operators.score import priority_name
@@ -55,19 +59,78 @@ def terminal(stream=None, colour: bool | None = None) -> Callable[[DataFrame, in
     return write
 
 
-def voice(rate: int = 190, run: Callable = subprocess.run, find: Callable = shutil.which, min_priority: int = rules.IMPORTANT) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: read out the lines that are urgent enough, the most urgent first; nothing where there is no voice."""
-    argv = next((a for name, a in VOICES if find(a[0])), None)
+class Voice:
+    """For foreachBatch: queues the lines that are urgent enough, and a thread of its own reads them out, the most urgent first,
+    so no batch waits. A CRITICAL line stops a lesser one that is being read. Nothing where there is no voice."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        if argv is None:
+    def __init__(self, rate: int = 190, start: Callable = subprocess.Popen, find: Callable = shutil.which, min_priority: int = rules.IMPORTANT):
+        self.argv = next((a for _, a in VOICES if find(a[0])), None)
+        self.rate, self.start, self.min_priority = rate, start, min_priority
+        self.due: queue.PriorityQueue = queue.PriorityQueue()
+        self.order, self.lock = itertools.count(), threading.Lock()
+        self.now: tuple[int, object] | None = None  # priority and process of what is being read
+        self.thread = threading.Thread(target=self._read, daemon=True)
+        if self.argv:
+            self.thread.start()
+
+    def __call__(self, batch: DataFrame, _: int) -> None:
+        if self.argv is None:
             return
-        due = batch.where((F.col("priority") >= min_priority) & (F.trim("spoken") != "")).orderBy(F.desc("priority"), "ts")
+        due = batch.where((F.col("priority") >= self.min_priority) & (F.trim("spoken") != "")).orderBy(F.desc("priority"), "ts")
         for r in due.toLocalIterator():
-            text = r["spoken"].replace("'", " ").replace('"', " ")
-            run([a.format(rate=rate, text=text) for a in argv], check=False)
+            self.say(r["spoken"], r["priority"])
 
-    return write
+    def say(self, text: str, priority: int) -> None:
+        self.due.put((-priority, next(self.order), text))
+        with self.lock:
+            if priority >= rules.CRITICAL and self.now and self.now[0] < priority:
+                self.now[1].terminate()
+
+    def close(self) -> None:
+        """Read what is queued, and end."""
+        if self.argv:
+            self.due.put((1, 0, None))  # after every line
+            self.thread.join()
+
+    def _read(self) -> None:
+        while (line := self.due.get())[2] is not None:
+            text = line[2].replace("'", " ").replace('"', " ")
+            try:
+                with self.lock:
+                    self.now = (-line[0], self.start([a.format(rate=self.rate, text=text) for a in self.argv]))
+                self.now[1].wait()
+            except OSError:
+                pass  # the voice is gone; the tape goes on
+            with self.lock:
+                self.now = None
+
+
+def banner(feeds: int, symbols: int, level: str) -> str:
+    return f"tidewire: {feeds} feeds, {symbols} symbols, {level} and above"
+
+
+class Counter(StreamingQueryListener):
+    """Adds up what live.observed() counts in every batch."""
+
+    def __init__(self):
+        self.total: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get("counters")
+        for k, v in (row.asDict() if row else {}).items():
+            self.total[k] = self.total.get(k, 0) + (v or 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def summary(self) -> str:
+        return ", ".join(f"{n} {k}" for k, n in self.total.items() if n) or "nothing passed the gates"
 
 
 def counts(lines: DataFrame) -> DataFrame:
