@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 
 from ..storage import new_folder, scratch, stored  # noqa: F401
 
-BATCH_BYTES = 16 << 20
-"""Bytes of an Arrow batch of texts; Spark's own limit is four times as much, of which JVM and Python hold several copies."""
+BATCH_BYTES = 8 << 20
+"""Bytes of an Arrow batch of texts; Spark's own limit is eight times as much, of which JVM and Python hold several copies."""
 
 if TaskContext.get() is not None:  # in an executor's Python worker, give freed batches back to the system
     pa.set_memory_pool(pa.system_memory_pool())
+    if hasattr(libc := ctypes.CDLL(None), "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # arrays from a megabyte on are mapped, so that they go back when freed
 
 BROADCAST_LIMIT = 8 << 20
 """Bytes up to which a counted table may be broadcast; beyond it joins shuffle."""

@@ -25,7 +25,8 @@ BLOCK, MEMBERS = 1 << 19, 128
 """Shingles in a block of such a meeting, and members, at most on average."""
 SURE = 0.17
 """Pairs whose estimate is this far below the threshold, five deviations at 0.8, aren't counted out exactly."""
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+"""Bytes of text that a task works on at a time; a longer text stands alone."""
 COLUMNS = 1 << 12
 
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -51,14 +51,18 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums P and inverse powers I, so that (P[b] - P[a]) * I[a] is a hash of data[a:b]."""
     n = len(data)
-    if len(_powers[0]) < n + 1:
-        for k, base in enumerate((_MULT, pow(_MULT, -1, 1 << 64))):
-            full = np.full(2 * n + 1, base, np.uint64)
+    powers = _powers
+    if len(powers[0]) < n + 1:
+        powers = []
+        for base in (_MULT, pow(_MULT, -1, 1 << 64)):
+            full = np.full(max(n, CHUNK) + 1, base, np.uint64)
             full[0] = 1
-            _powers[k] = np.multiply.accumulate(full)
+            powers.append(np.multiply.accumulate(full, out=full))
+        if n <= 2 * CHUNK:  # those of a long text are for it alone
+            _powers[:] = powers
     p = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers[0][:n], out=p[1:])
-    return p, _powers[1]
+    np.cumsum(_BYTE[data] * powers[0][:n], out=p[1:])
+    return p, powers[1]
 
 
 def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
