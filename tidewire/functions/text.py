@@ -94,7 +94,7 @@ COMMON_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")
 def clean_markup(text: Column, all_entities: bool = True) -> Column:
     """Tags become blanks, then entities characters, then runs of blanks one; none at the ends. Null: empty.
 
-    all_entities: any entity of HTML, by an Arrow function over the few rows that have a rare one; otherwise the common
+    all_entities: any entity of HTML, by an Arrow function that every row passes; otherwise the common
     ones alone, natively.
     """
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")
