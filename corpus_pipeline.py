@@ -1,4 +1,8 @@
-"""The corpus pipeline: language identification, exact and near duplicates, decontamination, packing."""
+"""The corpus pipeline: language identification, exact and near duplicates, decontamination, packing.
+
+All stages: null text counts as empty, texts are read whole, an empty table gives no rows, other columns whatever their names
+are kept as they are (packing returns its own instead). What a stage does with null or repeated ids and ties, it says itself.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,8 @@ from pyspark.sql import functions as F
 from tidewire.llm import common, decontam, exact_dedup, langid, packing, queries, similar
 
 ORACLE_SQL = None
-"""SQL can't express the text model, the near-duplicate groups or the packing; tests/llm compares the stages with brute force."""
+"""SQL can't express the text model, the near-duplicate groups or the packing; tests/llm compares
+the operators that the stages call with brute force, the language model apart."""
 
 
 def _row():
@@ -25,7 +30,8 @@ def _without(spark: SparkSession, docs: DataFrame, gone: DataFrame) -> DataFrame
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in an identifiable language. The source stands for the host, the lang column for declared markup."""
+    """Documents in an identifiable language. The source stands for the host, the lang column for declared markup.
+    Empty texts and those without letters go. Rows alike in id and text share their fate; rows that share an id alone don't."""
     model = langid.fit_text_model(docs)
     rows = docs.select("doc_id", _row().alias("row"), "text", F.col("source").alias("host"), F.col("lang").alias("declared"))
     found = langid.identify(spark, rows, model, ["doc_id", "row"])
@@ -33,7 +39,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for A-Z's case, the row of the largest doc_id."""
+    """Of texts equal but for A-Z's case, the row of the largest doc_id, a null id before all others; of repeated rows
+    one."""
     found = common.materialize(spark, exact_dedup.exact_duplicates(spark, docs), "exact")
     gone = found.where(~F.col("kept"))
     if gone.isEmpty():
@@ -50,7 +57,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the row of the smallest doc_id."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the row of the smallest doc_id, a
+    null id after all others. Rows alike in id and text are one document and all stay or go. Texts without words are in no group."""
     n, alone = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
     node = F.col("doc_id").cast("long") if n == alone else F.xxhash64("doc_id", "text")
     rows = docs.select(node.alias("node"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("id"))
@@ -67,13 +75,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item. Repeated rows and null ids: each row is judged by its own text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.decontaminate(spark, docs, benchmark, clean=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of what is left."""
+    """Token sequences of what is left. Repeated rows and null ids: each row is packed; an empty text as its end alone."""
     return packing.pack(spark, docs, queries.TOKENIZER)
 
 
