@@ -122,21 +122,21 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(similarity):
-    """Of the members of one or two blocks (node, root, set), links that join all roots with alike members."""
+    """Of the members of one or two blocks (root, set), links between roots that join all roots with alike members."""
 
     def joined(t: pa.Table) -> pa.Table:
-        node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
+        root = t.column("root").to_numpy()
         sets = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
         size = np.array([len(s) for s in sets])
         _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = count[code] > 1
-        who, col = np.repeat(np.arange(len(node)), size)[shared], (np.cumsum(count > 1) - 1)[code[shared]]
+        who, col = np.repeat(np.arange(len(root)), size)[shared], (np.cumsum(count > 1) - 1)[code[shared]]
         order = np.argsort(col, kind="stable")
         who, col = who[order], col[order]
-        both = np.zeros((len(node), len(node)))
+        both = np.zeros((len(root), len(root)))
         for lo in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
             i, j = np.searchsorted(col, (lo, lo + COLUMNS))
-            has = np.zeros((len(node), COLUMNS), np.float32)
+            has = np.zeros((len(root), COLUMNS), np.float32)
             has[who[i:j], col[i:j] - lo] = 1
             both += has @ has.T
         alike = both / np.maximum(1, size[:, None] + size[None, :] - both) >= similarity
@@ -152,7 +152,7 @@ def _joined(similarity):
             x, y = top(int(root[i])), top(int(root[j]))
             if x != y:
                 up[max(x, y)] = min(x, y)
-                out.append((min(node[i], node[j]), max(node[i], node[j])))
+                out.append((min(x, y), max(x, y)))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return joined
@@ -195,14 +195,17 @@ def similar_groups(spark: SparkSession, rows: DataFrame, shingle: int = 5, simil
         groups = materialize(spark, connected_components(spark, alike), "groups")
         more = _crowds(spark, rows, sketch, large.select("key", "node"), groups, shingle, similarity)
         if more is not None:
-            groups = materialize(spark, connected_components(spark, alike.union(more)), "groups")
+            merged = materialize(spark, connected_components(spark, more), "merged")
+            tops = broadcast_if_small(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), merged.count(), 16)
+            moved = groups.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            groups = materialize(spark, moved.union(merged.join(groups, "node", "left_anti").select("node", "root")), "groups")
         keep(groups)
     return groups
 
 
 def _crowds(spark, rows, sketch, large, groups, shingle, similarity) -> DataFrame | None:
-    """Links (a, b) enough to join all alike members of each meeting (key, node) that groups leaves apart, None if there are
-    none.
+    """Links (a, b) between roots, a node of no group being its own, enough to join all alike members of each meeting
+    (key, node) that groups leaves apart, None if there are none.
 
     Members of one group needn't be compared, so a group too large for a block has blocks of its own, which meet those of
     the others only; smaller ones share blocks. Every pair of blocks is one task of bounded size.
@@ -226,7 +229,7 @@ def _crowds(spark, rows, sketch, large, groups, shingle, similarity) -> DataFram
     sides = pairs.select("key", "pair", F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
     nodes = materialize(spark, of.select("node").distinct(), "ends")
     dealt = of.select("key", "block", "node", "root").join(materialize(spark, sides, "sides"), ["key", "block"]).select("pair", "node", "root")
-    full = dealt.join(_sets(spark, rows, nodes, shingle), "node").select("pair", "node", "root", "set")
+    full = dealt.join(_sets(spark, rows, nodes, shingle), "node").select("pair", "root", "set")
     more = materialize(spark, full.groupBy("pair").applyInArrow(_joined(similarity), "a long, b long").distinct(), "more")
     return None if more.isEmpty() else more
 
