@@ -208,6 +208,7 @@ class MoveConfig:
     warmup: int = 30
     history_s: float = 3600.0
     alpha: float = 0.06
+    zeros: bool = False  # whether a price of 0 is measured, as IEEE 754 has it
 
 
 @dataclass(frozen=True)
