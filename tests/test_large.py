@@ -6,8 +6,11 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from tidewire.operators import dedup
+from tidewire import storage
+from tidewire.functions import squawk
+from tidewire.operators import dedup, score
 from tidewire.plans import oracle, queries
 from tidewire.storage import shared_folder
 
@@ -65,3 +68,24 @@ def test_crowded_times_give_the_same_pairs(spark, monkeypatch):
         monkeypatch.setattr(dedup, "BUCKET_ITEMS", most)
         assert sorted(map(tuple, dedup.similar_pairs(items).collect())) == want
     assert want
+
+
+def test_texts_that_repeat_are_read_once(spark, monkeypatch):
+    """What texts alone say is made of the distinct ones: the costly step sees 40 rows, not 4000; without repeats every row is read."""
+    df = spark.range(4000).select(F.col("id").alias("seq"), F.when(F.col("id") % 40 != 7, F.concat(F.lit("Fed raises rates by 2 bps "), F.col("id") % 40)).alias("headline"), F.lit("ecb").alias("source"), F.col("id").cast("double").alias("ts"))
+    seen = []
+    read = score._read
+    monkeypatch.setattr(score, "_read", lambda x, c: seen.append(x.count()) or read(x, c))
+    few = sorted(map(str, score.score_news(df).drop("all_symbols").collect()))
+    monkeypatch.setattr(storage, "FEW_BYTES", 64)
+    assert sorted(map(str, score.score_news(df).drop("all_symbols").collect())) == few
+    assert seen == [40, 4000] and len(few) == 4000
+
+
+@pytest.mark.parametrize("limit", [storage.FEW_BYTES, 64])
+def test_tape_lines_of_repeated_headlines(spark, monkeypatch, limit):
+    monkeypatch.setattr(storage, "FEW_BYTES", limit)
+    rows = [(k, h, s, y, "old") for k, (h, s, y) in enumerate([("ECB's Lagarde: we are not done yet", "x", []), ("Acme up 2 percent", "ecb", ["ACME"]), ("Acme up 2 percent", "ecb", []), (None, "ecb", [])] * 3)]
+    got = squawk.with_tape_line(spark.createDataFrame(rows, "seq long, headline string, source string, symbols array<string>, body string"), F.lit("ZZ")).orderBy("seq").collect()
+    want = [("ECB'S LAGARDE: WE ARE NOT DONE YET", "EU"), ("ACME UP 2%", "EU"), ("ACME UP 2%", "EU"), (None, "EU")] * 3
+    assert [(x.body, x.region) for x in got] == want

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..storage import by_distinct
 from .text import once
 
 WIDTH = 108
@@ -86,20 +87,26 @@ def compress(text: Column) -> Column:
 
 
 def with_tape_line(df: DataFrame, default_region: Column | None = None, width: int = WIDTH) -> DataFrame:
-    """df (headline, source, symbols, ...) with body, region, org and speaker. In steps, each computed once."""
+    """df (headline, source, symbols, ...) with body, region, org and speaker. In steps, each computed once; once a headline,
+    source, default and symbols where these repeat much."""
+    df = df.withColumns({"_default": default_region if default_region is not None else F.lit(""), "_lead": F.array_join(F.slice("symbols", 1, 3), "/"), "_led": F.size("symbols") > 0})
+    return by_distinct(df, ["headline", "source", "_default", "_lead", "_led"], lambda x: _tape_line(x, width)).drop("_default", "_lead", "_led")
+
+
+def _tape_line(df: DataFrame, width: int) -> DataFrame:
     df = once(df.withColumn("_clean", strip_cruft(F.col("headline"))))
     df = with_speaker(df, "_clean")
     by_org = F.element_at(F.create_map(*[F.lit(x) for kv in rules.REGION_BY_ORG.items() for x in kv]), F.col("org"))
-    df = once(df.withColumns({"region": F.coalesce(by_org, region(F.col("_clean"), F.col("source"), default_region)), "_plain": F.upper(compress(F.col("rest")))}))
+    df = once(df.withColumns({"region": F.coalesce(by_org, region(F.col("_clean"), F.col("source"), F.col("_default"))), "_plain": F.upper(compress(F.col("rest")))}))
     # What the tag says needn't lead the body too.
     lead = F.concat(F.lit("(?U)^"), F.col("region"), F.lit("(?=[\\s,:-]|$)[\\s,:-]*"))
     bare = F.when(F.col("region") != "", F.regexp_replace("_plain", lead, F.lit(""))).otherwise(F.col("_plain"))
     said = F.concat(F.col("org"), F.lit("'S "), F.col("speaker"), F.lit(": "), F.col("_plain"))
-    df = once(df.withColumns({"_bare": F.when(F.col("org") != "", said).otherwise(bare), "_lead": F.array_join(F.slice("symbols", 1, 3), "/")}))
-    led = (F.size("symbols") > 0) & (F.col("org") == "") & ~F.startswith("_bare", "_lead")
+    df = once(df.withColumn("_bare", F.when(F.col("org") != "", said).otherwise(bare)))
+    led = F.col("_led") & (F.col("org") == "") & ~F.startswith("_bare", "_lead")
     df = once(df.withColumn("_body", F.when(led, F.concat(F.col("_lead"), F.lit(": "), F.col("_bare"))).otherwise(F.col("_bare"))))
     cut = F.concat(F.regexp_replace(F.substring("_body", 1, width), " [^ ]*$", ""), F.lit("..."))
-    return once(df.withColumn("body", F.when(F.char_length("_body") > width, cut).otherwise(F.col("_body"))).drop("_clean", "rest", "_plain", "_bare", "_lead", "_body"))
+    return once(df.withColumn("body", F.when(F.char_length("_body") > width, cut).otherwise(F.col("_body"))).drop("_clean", "rest", "_plain", "_bare", "_body"))
 
 
 def marker(priority: Column) -> Column:

@@ -7,38 +7,42 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as T
+from ..storage import by_distinct
 
 
 def priority_name(priority: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in rules.PRIORITY_NAMES]), priority + 1)
 
 
+def _read(items: DataFrame, categories) -> DataFrame:
+    """items with what their texts alone say: the phrases of each table, and the magnitude."""
+    text = items.withColumn("_text", F.lower(T.item_text(F.col("headline"), F.col("body"))))
+    df = text.withColumns(
+        {
+            "_boiler": T.phrase_hits(F.col("_text"), rules.BOILERPLATE),
+            "_hits": F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(w)).alias("weight"), F.size(T.phrase_hits(F.col("_text"), p)).alias("n")) for n, w, p in categories]),
+            "_surprise": T.phrase_hits(F.col("_text"), rules.SURPRISE),
+            "_noise": T.phrase_hits(F.col("_text"), rules.NOISE),
+            "_admin": T.phrase_hits(F.col("_text"), rules.ADMIN),
+            "_magnitude": T.magnitude(F.col("_text")),
+        }
+    )
+    return T.once(df).withColumn("_hits", F.filter("_hits", lambda h: h["n"] > 0)).drop("_text")
+
+
 def score_news(items: DataFrame, cfg: rules.NewsConfig | None = None, now: Column | None = None, categories=rules.CATEGORIES) -> DataFrame:
     """items (headline, source, ts; body and symbols if there) with all_symbols, score, priority, categories, magnitude and
     reason. now: epoch seconds against which a headline's age counts; by default its own time, so that nothing is stale.
 
-    One narrow stage of native columns; phrases are searched plainly before any pattern runs.
+    Native columns; phrases are searched plainly before any pattern runs, and once a text where texts repeat much.
     """
     cfg = cfg or rules.NewsConfig()
     for name, kind in (("body", "string"), ("symbols", "array<string>")):
         if name not in items.columns:
             items = items.withColumn(name, F.lit(None).cast(kind))
     now = F.col("ts") if now is None else now
-    df = items.withColumn("_text", F.lower(T.item_text(F.col("headline"), F.col("body"))))
-    df = df.withColumns(
-        {
-            "_boiler": T.phrase_hits(F.col("_text"), rules.BOILERPLATE),
-            "_hits": F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(w)).alias("weight"), F.size(T.phrase_hits(F.col("_text"), p)).alias("n")) for n, w, p in categories]),
-            "_surprise": T.phrase_hits(F.col("_text"), rules.SURPRISE),
-            "_noise": T.phrase_hits(F.col("_text"), rules.NOISE),
-            "_admin": T.phrase_hits(F.col("_text"), rules.ADMIN),
-            "_magnitude": T.magnitude(F.col("_text")),
-            "_weight": T.source_weight(F.col("source")),
-            "_age": F.greatest(F.lit(0.0), now - F.col("ts")),
-            "all_symbols": T.symbols(F.col("symbols"), F.col("headline")),
-        }
-    )
-    df = T.once(df).withColumn("_hits", F.filter("_hits", lambda h: h["n"] > 0))
+    df = by_distinct(items, ["headline", "body"], lambda x: _read(x, categories))
+    df = df.withColumns({"_weight": T.source_weight(F.col("source")), "_age": F.greatest(F.lit(0.0), now - F.col("ts")), "all_symbols": T.symbols(F.col("symbols"), F.col("headline"))})
     base = F.array_max(F.transform("_hits", lambda h: h["weight"] + F.least(F.lit(6.0), 2.0 * (h["n"] - 1))))
     some = lambda c: F.size(c) > 0
     raw = (
@@ -80,7 +84,7 @@ def score_news(items: DataFrame, cfg: rules.NewsConfig | None = None, now: Colum
             .when(F.col("_state") == "stale", F.concat(F.lit("stale ("), minutes, F.lit("m old)")))
             .otherwise(reason),
         }
-    ).drop("_text", "_boiler", "_hits", "_surprise", "_noise", "_admin", "_magnitude", "_weight", "_age", "_state")
+    ).drop("_boiler", "_hits", "_surprise", "_noise", "_admin", "_magnitude", "_weight", "_age", "_state")
     return T.once(out)
 
 

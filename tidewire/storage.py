@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -62,9 +63,38 @@ SPREAD_BYTES = 256 << 20
 """Inputs up to this size may be dealt out anew."""
 
 
-def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+def spread(spark: SparkSession, df: DataFrame, most: int = 1 << 30) -> DataFrame:
     """A small input in fewer files than there are cores, dealt out over all of them before work that costs far more than
     moving it. Anything larger stays as it lies."""
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = min(cores, most)
     return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
+
+
+FEW_BYTES = 8 << 20
+"""Bytes up to which a table of distinct values is broadcast."""
+
+
+def by_distinct(df: DataFrame, columns: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """make(df), where make adds columns that depend on the given ones alone. If the rows repeat so few values of these that a
+    table of them can be broadcast, they are made once a value, not once a row; otherwise, and in streams, of every row.
+
+    Values are counted as partial aggregates, which fit the broadcast if they fit at all, so a count beyond it stops early."""
+    if df.isStreaming:
+        return make(df)
+    spark = df.sparkSession
+    bytes_of = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(64))
+    most = FEW_BYTES // 64
+    values = stored(spark, df.select(*columns).distinct().limit(most + 1), "values")
+    n, size = values.agg(F.count("*"), F.coalesce(F.sum(bytes_of), F.lit(0))).first()
+    if n > most or size > FEW_BYTES:
+        return make(df)
+    made = make(spread(spark, values, n // 8 + 1))
+    new = [c for c in made.columns if c not in columns]
+    made = stored(spark, made, "made")
+    keys = {c: f"_value_{k}" for k, c in enumerate(columns)}
+    right = F.broadcast(made.select(*[F.col(c).alias(k) for c, k in keys.items()], *new))
+    df = df.drop(*new)
+    same = [df[c].eqNullSafe(right[k]) for c, k in keys.items()]
+    return df.join(right, same, "left").select(*[df[c] for c in df.columns], *new)
