@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire import storage
 from tidewire.functions import squawk
-from tidewire.operators import dedup, score
+from tidewire.operators import dedup, moves, score
 from tidewire.plans import oracle, queries
 from tidewire.storage import shared_folder
 
@@ -89,3 +89,18 @@ def test_tape_lines_of_repeated_headlines(spark, monkeypatch, limit):
     got = squawk.with_tape_line(spark.createDataFrame(rows, "seq long, headline string, source string, symbols array<string>, body string"), F.lit("ZZ")).orderBy("seq").collect()
     want = [("ECB'S LAGARDE: WE ARE NOT DONE YET", "EU"), ("ACME UP 2%", "EU"), ("ACME UP 2%", "EU"), (None, "EU")] * 3
     assert [(x.body, x.region) for x in got] == want
+
+
+@pytest.mark.parametrize("most", [90, 10**6])
+def test_anchors_by_stretches_with_ties(spark, monkeypatch, most):
+    """Ticks of one time count in each other's volume; a symbol is cut into stretches without a change."""
+    monkeypatch.setattr(moves, "ANCHOR_ROWS", most, raising=False)
+    rng = random.Random(4)
+    ticks = [("ab"[k % 2], k, float(rng.randrange(400)), float(k + 1), float(rng.randrange(9))) for k in range(300)]
+    got = moves.anchors(spark.createDataFrame(ticks, "symbol string, seq long, ts double, price double, volume double"), (20.0, 50.0), 70.0).collect()
+    assert len(got) == len(ticks)
+    for r in got:
+        for w in (20, 50):
+            seen = [(t, k, p) for s, k, t, p, _ in ticks if s == r.symbol and r.ts - 70 <= t <= r.ts - w]
+            assert r[f"anchor_{w}"] == (max(seen)[2] if seen else None)
+            assert r[f"volume_{w}"] == sum(v for s, _, t, _, v in ticks if s == r.symbol and r.ts - w < t <= r.ts)
