@@ -104,3 +104,41 @@ def test_anchors_by_stretches_with_ties(spark, monkeypatch, most):
             seen = [(t, k, p) for s, k, t, p, _ in ticks if s == r.symbol and r.ts - 70 <= t <= r.ts - w]
             assert r[f"anchor_{w}"] == (max(seen)[2] if seen else None)
             assert r[f"volume_{w}"] == sum(v for s, _, t, _, v in ticks if s == r.symbol and r.ts - w < t <= r.ts)
+
+
+def test_copies_at_one_time_are_never_paired(spark, monkeypatch):
+    """3,000 items of 42 texts within ttl_s of each other: pairs are made of texts only, and what goes is as read one by one."""
+    rng = random.Random(12)
+    words = ["fed", "rates", "oil", "ecb", "cut", "rise", "bank"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(2, 7))) for _ in range(40)] + ["", None]
+    times = [float(rng.choice((rng.randrange(9000), 500, 3200))) for _ in range(3000)]
+    times[7], times[8], times[9] = float("nan"), float("inf"), None
+    made = [(rng.randrange(10**6) * 3000 + k, t, rng.choice(texts)) for k, t in enumerate(times)]
+    items = spark.createDataFrame(made, "seq long, ts double, headline string")
+    seen = []
+    pairs = dedup.similar_pairs
+    monkeypatch.setattr(dedup, "similar_pairs", lambda x, c=None: seen.append(x.count()) or pairs(x, c))
+    got = {r.seq: r.duplicate_of for r in dedup.deduplicate(spark, items).collect()}
+    assert max(seen) <= 42
+    kept, want = [], {}
+    shingled = lambda t: (w := (t or "").split()) and (set(zip(w, w[1:])) or set(w))
+    alike = lambda a, b: bool(a and b) and (len(a & b) / len(a | b) >= 0.62 or len(a & b) / min(len(a), len(b)) >= 0.8)
+    timed = sorted((t, s, shingled(x)) for s, t, x in made if t is not None and abs(t) < float("inf"))
+    for t, s, x in timed:
+        want[s] = next((k for u, k, y in kept if t - u <= 2700 and alike(x, y)), None)
+        if want[s] is None:
+            kept.append((t, s, x))
+    assert got == {s: want.get(s) for s, _, _ in made}
+    assert sum(v is not None for v in want.values()) > 2000
+    for limit, least in (("TEXTS", 5), ("LINKS", 3)):  # more than these, and pairs of items settle it
+        monkeypatch.setattr(dedup, limit, least)
+        assert {r.seq: r.duplicate_of for r in dedup.deduplicate(spark, items).collect()} == got
+
+
+def test_no_two_busy_symbols_share_a_task(spark):
+    names = [f"S{k}" for k in range(4)]
+    ticks = spark.createDataFrame([(names[k % 4] if k % 50 else None, k, float(k), 1.0, 1.0) for k in range(400)], "symbol string, seq long, ts double, price double, volume double")
+    dealt = moves.in_order(ticks).withColumn("task", F.spark_partition_id())
+    assert dealt.groupBy("symbol").agg(F.countDistinct("task").alias("n")).where("n > 1").count() == 0
+    assert dealt.where("symbol is not null").select("task").distinct().count() == 4
+    assert dealt.count() == 400

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +28,13 @@ def follow(spark: SparkSession, items: DataFrame, ticks: DataFrame, cfg: rules.F
     symbol, and either confirmed by a move, gated at min_priority, or dropped. Moves are confirmed by news or unexplained.
     """
     cfg = cfg or rules.FollowConfig()
-    scored = stored(spark, score.score_news(items, cfg.news), "scored")
-    fresh = stored(spark, dedup.deduplicate(spark, score.relevant(scored), cfg.news), "deduplicated")
+    detect = lambda: stored(spark, moves.quick_moves(ticks, cfg.move), "moves")
+    with ThreadPoolExecutor(1) as beside:  # a symbol is one task, so few symbols leave most cores to the headlines
+        moving = beside.submit(inheritable_thread_target(spark)(copy_context().run), detect)
+        scored = stored(spark, score.score_news(items, cfg.news), "scored")
+        fresh = stored(spark, dedup.deduplicate(spark, score.relevant(scored), cfg.news), "deduplicated")
+        found = moving.result()
     kept = fresh.where("duplicate_of is null").withColumn("symbols", F.col("all_symbols"))
-    found = stored(spark, moves.quick_moves(ticks, cfg.move), "moves")
     said = lambda m: moves.describe(F.col(f"{m}symbol"), F.col(f"{m}ret"), F.col(f"{m}window_s"), F.col(f"{m}z"), F.col(f"{m}volume_ratio"))
     no_move = F.lit(None).cast(found.select(F.struct(*MOVE)).schema[0].dataType)
     no_item = F.lit(None).cast(kept.select(F.struct(*ITEM)).schema[0].dataType)

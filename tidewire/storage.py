@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -72,6 +73,15 @@ def spread(spark: SparkSession, df: DataFrame, most: int = 1 << 30) -> DataFrame
     return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
 
 
+def tasks_of(sizes: dict, tasks: int) -> dict:
+    """The task of each key, of at most so many: keys with the most rows first, each to the task with the fewest."""
+    heap, of = [(0, k) for k in range(max(1, min(tasks, len(sizes))))], {}
+    for key, n in sorted(sizes.items(), key=lambda x: -x[1]):
+        held, of[key] = heapq.heappop(heap)
+        heapq.heappush(heap, (held + n, of[key]))
+    return of
+
+
 FEW_BYTES = 8 << 20
 """Bytes up to which a table of distinct values is broadcast."""
 
