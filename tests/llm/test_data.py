@@ -269,6 +269,19 @@ def test_word_ids_when_memory_is_full(monkeypatch):
         assert tokens.ids(text).tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_frequent_words_stay_when_memory_is_full(monkeypatch):
+    made = []
+    kept = packing._Kept(lambda w: made.append(w) or w.encode(), 4)
+    for k in range(50):
+        assert [kept[w] for w in ("the", "fox", f"w{k}")] == [b"the", b"fox", f"w{k}".encode()]
+    assert sorted(made) == sorted(["the", "fox", *(f"w{k}" for k in range(50))]) and len(kept) + len(kept.last) <= 8
+    monkeypatch.setattr(packing, "KEPT_WORDS", 3)
+    monkeypatch.setattr(packing, "KEPT_STRETCHES", 2)
+    tokens = packing.WordTokens(TOKENIZER)
+    for text in ("It's one\ttwo, three\r\nfour five " + "x" * 99, "", " \n ", "six's Öl-Preis 12½ one", "one two " + "x" * 99):
+        assert tokens.ids(text).tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 # -- queries and pipeline ----------------------------------------------------
 
 

@@ -7,7 +7,7 @@ import re
 import struct
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,15 +21,16 @@ from .common import bound_batches, materialize
 CAPACITY = 2048
 END = 0
 """Id that closes a document."""
-KEPT_WORDS = 150_000
-"""Words whose ids a worker remembers; it affects speed only."""
+KEPT_WORDS, KEPT_STRETCHES, KEPT_CHARS = 300_000, 60_000, 40
+"""Words, and stretches between blanks, in a generation of those whose ids a worker remembers, and their longest; it affects
+speed only."""
 BUCKET_ROWS = 20_000
 """Pieces of one length that are numbered together."""
 
 #: The letters, numbers and blanks among the characters that split() handles itself.
 _LETTER = "a-zªµºß-öø-ſ"
 _NUMBER = "0-9²³¹¼-¾"
-_OTHERS = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-¬®-įĲ-ſ]|<\\|")
+_PLAIN = frozenset("\t\n\r" + "".join(map(chr, (*range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x130), *range(0x132, 0x180)))))
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\t\\n\\r {_LETTER}{_NUMBER}]+")
 
 
@@ -43,17 +44,21 @@ def _byte_letters() -> list[str]:
 _LETTERS = _byte_letters()
 
 
-class _Words(dict):
-    """Ids of each word, as little-endian bytes, found when first asked for."""
+class _Kept(dict):
+    """What make() gives for each key, found when first asked for. At so many keys a new generation begins; what is asked for
+    again comes over from the last one, so frequent keys stay."""
 
-    def __init__(self, model):
-        self.model = model
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.last = make, most, {}
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        letters = word if word.isascii() else "".join([_LETTERS[b] for b in word.encode()])
-        ids = self[word] = struct.pack(f"<{len(t)}I", *[x.id for x in t]) if (t := self.model.tokenize(letters)) else b""
+    def __missing__(self, key: str) -> bytes:
+        if (ids := self.last.get(key)) is None:
+            ids = self.make(key)
+        if len(key) <= KEPT_CHARS:
+            if len(self) >= self.most:
+                self.last = self.copy()
+                self.clear()
+            self[key] = ids
         return ids
 
 
@@ -61,19 +66,27 @@ class WordTokens:
     """Ids of the word-level BPE file by remembering the ids of words.
 
     The file lower-cases, closes up blanks and splits into words before merging, so the ids of a text are those of its
-    words. Texts of plain Latin letters and ASCII are split here; any other text goes to the tokenizer whole.
+    words, and no word has a blank. Texts of plain Latin letters and ASCII are split here; any other text goes to the
+    tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = _Words(self.tokenizer.model)
+        self.model = self.tokenizer.model
+        self.bytes_of = {k: struct.pack("<I", k) for k in self.tokenizer.get_vocab().values()}
+        self.words = _Kept(self._word, KEPT_WORDS)
+        self.stretches = _Kept(lambda x: b"".join([self.words[w] for w in _WORDS.findall(x)]), KEPT_STRETCHES)
+
+    def _word(self, word: str) -> bytes:
+        letters = word if word.isascii() else "".join([_LETTERS[b] for b in word.encode()])
+        return b"".join([self.bytes_of[x.id] for x in self.model.tokenize(letters)])
 
     def ids(self, text: str) -> np.ndarray:
-        if _OTHERS.search(text):
+        if "<|" in text or not _PLAIN.issuperset(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.frombuffer(b"".join(map(self.known.__getitem__, _WORDS.findall(text.lower()))), "<u4")
+        return np.frombuffer(b"".join(map(self.stretches.__getitem__, text.lower().split())), "<u4")
 
 
 @lru_cache(2)
